@@ -1,0 +1,7 @@
+"""Queries of the library's operators, and the DuckDB SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+FLAGSHIP = "redact_fields_by_lang"

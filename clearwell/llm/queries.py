@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, rans, reply_tree, toxicity, url_filter
+from . import decontaminate, media, pieces, rans, reply_tree, substring_dedup, toxicity, url_filter
 from .common import prepare, shared_folder, table
 
 END_ID = 2
@@ -62,5 +62,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rules_table(spark, url_filter.RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_token_ids, op4_toxicity, op5_reply_trees, op6_pieces, op9_decontaminate, op10_url_filter)}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+
+def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(*media.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+
+QUERIES = {f.__name__: f for f in (op1_rans_token_ids, op2_media_chunks, op3_substring_dedup, op4_toxicity, op5_reply_trees, op6_pieces, op9_decontaminate, op10_url_filter)}
 SQL: dict[str, str] = {}

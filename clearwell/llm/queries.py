@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, pieces, rans, reply_tree, substring_dedup, toxicity, url_filter
+from . import decontaminate, media, page_diff, pieces, rans, reply_tree, substring_dedup, toxicity, url_filter
 from .common import prepare, shared_folder, table
 
 END_ID = 2
@@ -72,5 +72,11 @@ def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_token_ids, op2_media_chunks, op3_substring_dedup, op4_toxicity, op5_reply_trees, op6_pieces, op9_decontaminate, op10_url_filter)}
+def op7_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_diff.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+
+QUERIES = {f.__name__: f for f in (op1_rans_token_ids, op2_media_chunks, op3_substring_dedup, op4_toxicity, op5_reply_trees, op6_pieces, op7_page_diff, op9_decontaminate, op10_url_filter)}
 SQL: dict[str, str] = {}

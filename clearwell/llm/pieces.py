@@ -18,11 +18,14 @@ surrogates cannot occur in Spark strings.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Memo
 
@@ -151,8 +154,8 @@ class PieceEncoder:
         return np.frombuffer(ids, "<u2")
 
 
-def encode_batches(file: str, end_id: int, digest) -> callable:
-    """A mapInArrow function over (doc_id, text) for op6's columns."""
+def encode(docs: DataFrame, file: str, end_id: int) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): each whole text's ids with end_id, and digests of them and of what they decode to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(file)
@@ -160,9 +163,14 @@ def encode_batches(file: str, end_id: int, digest) -> callable:
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():
-                ids = [*encoder.encode(t).tolist(), end_id]
-                rows.append((len(ids), digest(" ".join(map(decimal.__getitem__, ids)).encode()), digest(encoder.library.decode(ids).encode())))
-            n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = np.append(encoder.encode(t), np.uint16(end_id)).astype(np.int32)
+                listed = ids.tolist()
+                rows.append((len(listed), ids, _sha256(" ".join(map(decimal.__getitem__, listed))), _sha256(encoder.library.decode(listed))))
+            n, i, a, d = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.list_(pa.int32())), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return run
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()

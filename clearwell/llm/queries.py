@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, page_diff, pieces, rans, reply_tree, substring_dedup, toxicity, url_filter
+from . import decontaminate, media, page_diff, pieces, rans, reply_tree, shingle_join, substring_dedup, toxicity, url_filter
 from .common import prepare, shared_folder, table
 
 END_ID = 2
@@ -20,10 +19,6 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def op1_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     rans.write(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), END_ID, 49408)
@@ -48,8 +43,7 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(pieces.encode_batches(tokenizer_file("piece_bpe_32k.model"), END_ID, _sha), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), END_ID).drop("ids")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +72,10 @@ def op7_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (op1_rans_token_ids, op2_media_chunks, op3_substring_dedup, op4_toxicity, op5_reply_trees, op6_pieces, op7_page_diff, op9_decontaminate, op10_url_filter)}
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+
+QUERIES = {f.__name__: f for f in (op1_rans_token_ids, op2_media_chunks, op3_substring_dedup, op4_toxicity, op5_reply_trees, op6_pieces, op7_page_diff, op8_shingle_join, op9_decontaminate, op10_url_filter)}
 SQL: dict[str, str] = {}

@@ -119,5 +119,12 @@ def _verdict(scanned: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words")).drop("__hits")
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = LITERAL_WINDOWS) -> DataFrame:
+    """The documents of which the items' windows cover less than a twentieth, with docs' columns."""
+    # The row number in the condition keeps the optimizer from copying the whole scan into the filter.
+    judged = scan(docs, items, size, limit).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where("NOT contaminated AND __row >= 0").select(docs.columns)
+
+
 def report(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

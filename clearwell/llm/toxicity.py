@@ -97,45 +97,18 @@ class Scorer:
         if not gains:
             return [0.0] * N_FEATURES
         gains.sort(reverse=True)
-        top, second = gains[0], gains[1] if len(gains) > 1 else 0
-        return [min(top, 8), min(max(second, 0), 8), math.log1p(sum(g for g in gains if g >= SURE)), math.log1p(len(gains))]
-
-    def scorer(self) -> Scorer:
-        return Scorer(self)
-
-
-class Scorer:
-    """A model with its compressors; one per Python worker."""
-
-    def __init__(self, model: Model):
-        self.weights = model.weights
-        self.pair = None
-        if model.toxic:
-            self.tail = model.ordinary[-64:]
-            self.pair = [_compressor(d) for d in (model.toxic, model.ordinary)]
-
-    def features(self, text: str | None) -> list[float]:
-        if self.pair is None:
-            return [0.0] * N_FEATURES
-        toxic, ordinary = (c.compress for c in self.pair)
-        tail = self.tail
-        gains = [len(ordinary(w + tail)) - len(toxic(w + tail)) for w in windows(text)]
-        if not gains:
-            return [0.0] * N_FEATURES
-        gains.sort(reverse=True)
-        top = gains[0]
+        sure = sum(g for g in gains if g >= SURE)
         second = gains[1] if len(gains) > 1 else 0
-        mean = sum(gains) / len(gains)
-        return [min(top, 40) / 10, min(max(second, 0), 40) / 10, max(min(mean, 20), -20) / 5, math.log1p(len(gains))]
+        return [min(gains[0], 8) / 4, min(max(second, 0), 8) / 4, math.log1p(sure), math.log1p(len(gains)), min(sure / len(gains), 2.0)]
 
     def score(self, text: str | None) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-N_FEATURES = 4
-#: A gain of so many bytes is no chance.
-SURE = 3
+N_FEATURES = 5
+#: A gain of so many bytes is hardly chance.
+SURE = 2
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -174,6 +147,8 @@ def fit(rows: Iterable[tuple[str | None, int]]) -> Model:
     ordinary_words = [" ".join(w[k : k + 24]).encode() for y, w in learn if not y for k in range(0, len(w), 24)]
     shared = _train(ordinary_words, COMMON_BYTES) or bytes(64)
     own = _train(toxic_words, SPECIFIC_BYTES)
+    # Training may pass over a rare mark; all of them close the block.
+    own += b"".join(f" {x}".encode() for x in stems)
     toxic, ordinary = own + shared, shared
     probe = Scorer(Model(toxic, ordinary, (0.0,) * (N_FEATURES + 1)))
     x = np.array([[1.0, *probe.features(t)] for t, _ in rows])
@@ -192,12 +167,12 @@ def _stems(learn: list[tuple[int, list[str]]]) -> list[str]:
     seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for y, w in learn:
         seen[y].update({x[:k] for x in set(w) for k in range(4, len(x) + 1)})
-    bar = 2 * math.log(1 + len(seen[0]) + len(seen[1])) + 4
+    bar = 2 * math.log(1 + len(seen[0]) + len(seen[1])) + 8
     rate = n[1] / (n[0] + n[1])
     gain = {}
     for x, a in seen[1].items():
         b = seen[0][x]
-        if a >= 3 and a * n[0] > 8 * b * n[1]:
+        if a >= 3 and a * n[0] > 6 * b * n[1]:
             gain[x] = 2 * (a * math.log(a / ((a + b) * rate)) + (b * math.log(b / ((a + b) * (1 - rate))) if b else 0))
     gain = {x: g for x, g in gain.items() if g > bar}
     before: dict[str, set[str]] = {x: set() for x in gain}

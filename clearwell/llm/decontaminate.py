@@ -91,7 +91,12 @@ def scan_by_join(docs: DataFrame, grams: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         out = out.checkpoint()  # row numbers stay the same when a task runs again
-    each = [F.when(F.size("__w") >= k, F.transform(F.sequence(F.lit(1), F.size("__w") - k + 1), lambda i, k=k: F.struct(i.alias("p"), F.lit(k).alias("k"), F.array_join(F.slice("__w", i, F.lit(k)), " ").alias("gram")))).otherwise(F.array()) for k in lengths]
+
+    def of_length(k: int):
+        grams = F.transform(F.sequence(F.lit(1), F.size("__w") - k + 1), lambda i: F.struct(i.alias("p"), F.lit(k).alias("k"), F.array_join(F.slice("__w", i, F.lit(k)), " ").alias("gram")))
+        return F.when(F.size("__w") >= k, grams).otherwise(F.array())
+
+    each = [of_length(k) for k in lengths]
     windows = out.select("__row", F.explode(F.concat(*each)).alias("s")).select("__row", "s.*")
     hits = windows.join(grams, ["k", "gram"]).groupBy("__row").agg(F.collect_list(F.struct("p", "k", "ids")).alias("__hits"))
     return out.drop("__w").join(hits, "__row", "left").withColumn("__hits", F.coalesce("__hits", F.array())).drop("__row")

@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from .common import prepare, release, shared_folder, on_exit
 from .word_memo import WordEncoder
 
-LANES = 512
-SEGMENT = 1 << 16
-BLOCK = 1 << 18
+LANES = 1024
+SEGMENT = 1 << 17
+BLOCK = 1 << 19
 SCALE = 20
 LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4s9I")
@@ -218,8 +218,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: i
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column(2).to_pylist():
-                seen += np.bincount(unpack(x), minlength=vocabulary)
+            ids = [unpack(x) for x in b.column(2).to_pylist()]
+            if ids:
+                seen += np.bincount(np.concatenate(ids), minlength=vocabulary)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["id", "n"])
 

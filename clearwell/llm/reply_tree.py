@@ -55,8 +55,7 @@ def chain(turns: DataFrame) -> DataFrame:
 
 def paths(messages: DataFrame) -> DataFrame:
     """(conv_id, leaf, node, up): every message on the way from each leaf to its root, up steps above the leaf."""
-    conv = F.coalesce(F.struct(F.col("conv_id")), F.struct(F.lit(None).cast("long").alias("conv_id")))
-    links = messages.select(conv.alias("c"), "node", "parent")
+    links = messages.select(F.struct("conv_id").alias("c"), "node", "parent")
     known = links.select("c", F.col("node").alias("parent"), F.lit(True).alias("there"))
     edges = links.join(known, ["c", "parent"], "left").select("c", "node", F.when(F.col("there"), F.col("parent")).alias("parent"))
     edges = written(edges, "edges")

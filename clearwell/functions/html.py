@@ -152,7 +152,7 @@ class Clean(NamedTuple):
 
 def sanitize(text: str) -> Clean:
     """text with comments and hidden elements behind placeholders, scanned anew until nothing is left to take."""
-    first = last = None
+    first = None
     comments = hidden = 0
     view, pairs = text, []
     for _ in range(ROUNDS):
@@ -167,7 +167,6 @@ def sanitize(text: str) -> Clean:
         wide = [Span(_source(pairs, s.start, False), _source(pairs, s.end, True), s.kind) for s in spans]
         kept = [Span(p_start, p_start + len(p.original), "comment" if p.placeholder.startswith("[HTML comment") else "hidden") for p, p_start in _sources(pairs)]
         view, pairs = splice(text, merge([*kept, *wide]), LABELS)
-    del last
     view, pairs = splice(text, [Span(0, len(text), "all")], {"all": UNPARSEABLE})
     return Clean(view, pairs, comments, hidden, first.tags, first.data_sources)
 
@@ -215,7 +214,7 @@ def urls(text: str) -> list[Url]:
         if not inside(m.start()):
             out.append(Url(entities.unescape(m[1] if m[1] is not None else m[2]), False, False, "definition"))
     tags, _ = tokens(text)
-    spans = [(t.start, t.end) for t in tags]
+    spans = [(t.start, t.end) for t in tags] + [m.span() for p in (_INLINE, _DEFINITION) for m in p.finditer(text)]
     for m in _BARE.finditer(text):
         if not inside(m.start()) and not any(a <= m.start() < b for a, b in spans):
             url = m[0].rstrip("?!.,:*_~'\")")

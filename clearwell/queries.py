@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import ansi, gates, invisible, secrets
+from .functions import ansi, environment, gates, invisible, secrets
 from .functions.characters import BLANK_RANGES, FORMAT_RANGES, INTRODUCER_RANGES, INVISIBLE, SELECTOR_RANGES, regex_class
-from .operators import layer1, markup, redact, relational, texts
+from .operators import codepoints, layer1, markup, redact, relational, texts, toolcalls
 from .plans import sanitize
 
 FLAGSHIP = "redact_fields_by_lang"
@@ -341,6 +341,58 @@ def scan_account(spark, sf_dir):
     return relational.scan_account(orders, orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 3 = 1"))
 
 
+@query("""SELECT n_nationkey, CAST(i AS INTEGER) AS pos, CAST(unicode(n_name[i+1]) AS INTEGER) AS cp, CAST(CASE WHEN i > 0 THEN unicode(n_name[i]) END AS INTEGER) AS previous, CAST(CASE WHEN i + 1 < length(n_name) THEN unicode(n_name[i+2]) END AS INTEGER) AS next
+FROM (SELECT n_nationkey, n_name, unnest(range(length(n_name))) AS i FROM nation)""")
+def code_points(spark, sf_dir):
+    return codepoints.code_points(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", "n_nationkey")
+
+
+@query("""SELECT n_nationkey, code, count(*) AS n FROM (SELECT n_nationkey, unnest(['cf-format', 'cf-format', 'blank-fillers']) AS code FROM nation) GROUP BY ALL""")
+def code_point_classes(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit(ZWSP), "n_name", F.lit("\u2060\u3164")).alias("t"))
+    return codepoints.classify(codepoints.code_points(names, "t", "n_nationkey")).where("code IS NOT NULL").groupBy("n_nationkey", "code").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_nationkey, CAST(unicode(n_name[1]) AS INTEGER) AS "left", CAST(unicode(n_name[2]) AS INTEGER) AS "right" FROM nation""")
+def nearest_visible(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select("n_nationkey", F.expr(f"concat(substring(n_name, 1, 1), '{ZWSP}{ZWSP}', substring(n_name, 2, 100))").alias("t"))
+    out = codepoints.nearest_visible(codepoints.classify(codepoints.code_points(names, "t", "n_nationkey")), "n_nationkey")
+    return out.where("pos = 1").select("n_nationkey", "left", "right")
+
+
+@query("""SELECT name, (name LIKE '%TOKEN%' OR name LIKE '%\\_KEY' ESCAPE '\\') AS secret, count(*) AS n FROM (SELECT CASE user_id % 4 WHEN 0 THEN 'MY_TOKEN_X' WHEN 1 THEN 'PATH' WHEN 2 THEN 'SERVICE_KEY' ELSE 'KEYBOARD_LAYOUT' END AS name FROM events) GROUP BY ALL""")
+def env_names(spark, sf_dir):
+    k = F.col("user_id") % 4
+    names = table(spark, sf_dir, "events").select(F.when(k == 0, "MY_TOKEN_X").when(k == 1, "PATH").when(k == 2, "SERVICE_KEY").otherwise("KEYBOARD_LAYOUT").alias("name"))
+    return names.groupBy("name", environment.is_credential_column(F.col("name")).alias("secret")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) = 1 THEN 'update' ELSE 'deny' END AS outcome FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')""")
+def rehydrate_edits(spark, sf_dir):
+    out = redact.redact(table(spark, sf_dir, "documents").select("doc_id", "text")).where("size(l4.pairs) > 0")
+    edits = out.select("doc_id", F.col("l4.view").alias("view"), F.col("l4.pairs").alias("pairs"), F.lit('token = "[REDACTED]"').alias("old"), F.lit('TOKEN = "[REDACTED]"').alias("new"), F.lit(False).alias("replace_all"))
+    return toolcalls.rehydrate_edits(edits).select("doc_id", "edit.outcome")
+
+
+@query(f"""SELECT doc_id, sha256(CASE WHEN regexp_matches(p, '{_INV}{{10,}}') OR length(p) - length(regexp_replace(p, '{_INV}', '', 'g')) >= 30 THEN regexp_replace(p, '{_INV}', '', 'g') ELSE p END) AS text_sha256 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '{_SEQ}', '', 'g'), '{_INTRO}', '', 'g') AS p FROM {_SALTED})""")
+def authored_strip_salted(spark, sf_dir):
+    docs = salted(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.sha2(toolcalls.strip_authored(F.col("text")), 256).alias("text_sha256"))
+
+
+@query("""SELECT tool, html, urls, count(*) AS n FROM (SELECT CASE page_id % 3 WHEN 0 THEN 'WebFetch' WHEN 1 THEN 'mcp__x__y' ELSE 'Bash' END AS tool, page_id % 3 <> 2 AS html, page_id % 3 <> 2 AS urls FROM pages) GROUP BY ALL""")
+def tool_policy(spark, sf_dir):
+    k = F.col("page_id") % 3
+    calls = table(spark, sf_dir, "pages").select(F.when(k == 0, "WebFetch").when(k == 1, "mcp__x__y").otherwise("Bash").alias("tool"), F.col("html").alias("text"))
+    return toolcalls.policy(calls).groupBy("tool", "html", "urls").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_custkey AS k, o_orderkey AS v FROM orders WHERE o_orderkey % 3 = 0""")
+def exposed_values(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey AS k", "o_orderkey AS v")
+    return relational.exposed(orders.where("v % 3 <> 0"), orders, "k", "v")
+
+
 # ---- the corpus ----
 
 _FINDINGS = f"""(SELECT doc_id, lang, code FROM (SELECT doc_id, lang, unnest([CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 17 = 0 THEN 'cf-format' END, CASE WHEN doc_id % 17 = 0 THEN 'variation-selectors' END, CASE WHEN doc_id % 17 = 0 THEN 'blank-fillers' END, CASE WHEN doc_id % 17 = 0 OR doc_id % 5 = 0 OR doc_id % 13 = 0 THEN 'ansi' END]) AS code FROM documents) WHERE code IS NOT NULL)"""

@@ -1,9 +1,9 @@
 """N-gram Jaccard join with prefix filters under several global orders.
 
 A document's set are the hashes of its distinct 5-word shingles.  Two sets are
-linked when their similarity is THRESHOLD percent or more.  Then each has a
-shingle of the other among its first n - ceil(0.8 n) + 1 ones, under any order
-of all shingles.  Three orders are used: each puts rare shingles first, by the
+linked when their similarity is THRESHOLD percent or more.  Then the first
+n - ceil(0.8 n) + k shingles of each, under any order of all shingles, have k in
+common; k is need(n).  Three orders are used: each puts rare shingles first, by the
 level of a count sketch over the whole corpus, and shuffles equal levels by
 another hash.  Candidates meet under the first order; before two sets are
 compared they must also share a prefix shingle under the second and the third.
@@ -11,10 +11,11 @@ compared they must also share a prefix shingle under the second and the third.
 Large groups: documents with equal sets form one class from the start, and a
 task sends a class once.  Of the classes that meet at a shingle only those next
 to a leader are compared at first; each class keeps the leader that it meets
-most often.  Classes linked so are one component.  Then every remaining pair of
+most often, if it does so often enough.  Classes linked so are one component.
+Then every remaining pair of
 classes that meet at a shingle, fit in size and are in different components is
-compared.  No pair that could join two components is left out, and pairs inside
-a component are not made.
+compared, if they meet as often as linked classes must.  No pair that could join
+two components is left out, and pairs inside a component are not made.
 
 Edge cases: texts without words have an empty set and link with nothing; fewer
 words than five are one shingle; null ids are kept and take part; repeated rows
@@ -41,6 +42,8 @@ from .components import components
 WORDS = 5
 THRESHOLD = 80
 SKETCH_BITS = 18
+#: A prefix is longer by this part of the set, and as many more shingles of it must be shared.
+SHARED_PART = 20
 _PIECES = 64
 #: Bound of a worker's memory of words, and of classes a task remembers having sent.
 WORD_MEMORY, SENT = 300_000, 1_000_000
@@ -64,6 +67,10 @@ class Shingler:
 
     def set_of(self, text: str | None) -> np.ndarray:
         """The sorted hashes of a text's distinct shingles."""
+        return np.unique(self.all_of(text))
+
+    def all_of(self, text: str | None) -> np.ndarray:
+        """The hashes of a text's shingles in order."""
         words = (text or "").encode().translate(_LOWER).split()  # at x20 and x09-x0D
         n, k = len(words), min(len(words), self.words)
         if not n:
@@ -72,17 +79,22 @@ class Shingler:
         h = np.full(n - k + 1, k, np.uint64)
         for j in range(k):
             h = h * _M + w[j : n - k + 1 + j]
-        return np.unique(_mix(h, 1))
+        return _mix(h, 1)
+
+
+def need(n):
+    """How many prefix shingles two sets of n (or more) shingles share at least."""
+    return 1 + n // SHARED_PART
 
 
 def prefix(shingles: np.ndarray, levels: np.ndarray, order: int, threshold: int = THRESHOLD) -> np.ndarray:
-    """The first shingles of a set under a global order, as many as a partner must share one of."""
+    """The first shingles of a set under a global order: so many that a partner shares need(n) of them, n being the smaller set's size."""
     n = len(shingles)
-    size = n - -(-threshold * n // 100) + 1
-    if not n:
+    size = n - -(-threshold * n // 100) + need(n)
+    if size >= n:
         return shingles
     rank = (levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (_mix(shingles, order + 2) >> np.uint64(8))
-    return shingles[np.argpartition(rank, size - 1)[:size]] if size < n else shingles
+    return shingles[np.argpartition(rank, size - 1)[:size]]
 
 
 def levels_of(docs: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -92,7 +104,7 @@ def levels_of(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            sets = [shingler.set_of(t) for t in b.column(0).to_pylist()]
+            sets = [shingler.all_of(t) for t in b.column(0).to_pylist()]
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
         yield _pieces([(k, counts[k * size : (k + 1) * size]) for k in range(_PIECES)])
@@ -157,22 +169,31 @@ def _meet(tokens: DataFrame, threshold: int) -> DataFrame:
         token = leader = size = last = None
         told = False
         for b in batches:
+            t, n, c = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+            if not len(t):
+                continue
+            # A token between two others that differ from it has one class; a batch's ends may go on elsewhere.
+            same = t[1:] == t[:-1]
+            keep = np.zeros(len(t), bool)
+            keep[0] = keep[-1] = True
+            keep[1:] |= same
+            keep[:-1] |= same
             out: list[tuple] = []
-            for t, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if t != token:
-                    token, leader, size, last, told = t, c, n, c, False
+            for t_, n_, c_ in zip(t[keep].tolist(), n[keep].tolist(), c[keep].tolist(), strict=True):
+                if t_ != token:
+                    token, leader, size, last, told = t_, c_, n_, c_, False
                     continue
-                if c == last:
+                if c_ == last:
                     continue
-                last = c
+                last = c_
                 if not told:
                     out.append((token, leader, size, None))
                     told = True
-                if 100 * size >= threshold * n:
-                    out.append((t, c, n, leader))
+                if 100 * size >= threshold * n_:
+                    out.append((t_, c_, n_, leader))
                 else:
-                    out.append((t, c, n, None))
-                    leader, size = c, n
+                    out.append((t_, c_, n_, None))
+                    leader, size = c_, n_
             columns = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["token", "c", "n", "leader"])
 
@@ -180,6 +201,10 @@ def _meet(tokens: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(run, "token long, c long, n long, leader long")
 
 
+def _need(n: str) -> str:
+    return f"1 + {n} DIV {SHARED_PART}"
+
+
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels, words: int, threshold: int, seed: int) -> DataFrame:
     """Of pairs (a, b) of classes, those whose sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
@@ -199,11 +224,12 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels, words
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_ID)).alias("rep"), "text")
     texts = texts.join(wanted if many else F.broadcast(wanted), "rep").select("text", "c")
-    sets = written(texts.mapInArrow(run, "c long, s array<long>, p array<int>, q array<int>").dropDuplicates(["c"]), "sets")
+    sets = written(texts.mapInArrow(run, "c long, s array<long>, p array<int>, q array<int>"), "sets")
     left, right = (sets.select(F.col("c").alias(x), *(F.col(k).alias(f"{k}{x}") for k in "spq")) for x in "ab")
     met = pairs.join(left, "a").join(right, "b").where("arrays_overlap(pa, pb) AND arrays_overlap(qa, qb)")
     met = met.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return met.where(f"100 * both >= {threshold} * (size(sa) + size(sb) - both)").select("a", "b")
+    # Rows that repeat an id repeat its set; the pair is the same.
+    return met.where(f"100 * both >= {threshold} * (size(sa) + size(sb) - both)").select("a", "b").distinct()
 
 
 def link(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -222,7 +248,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> Dat
     met = written(_meet(sets.where("pre IS NOT NULL").select(F.explode("pre").alias("token"), "n", "c"), threshold), "met")
     prepare(spark)
 
-    counts = met.where("leader IS NOT NULL").groupBy("c", "leader").count()
+    counts = met.where("leader IS NOT NULL").groupBy("c", "leader").agg(F.count("*").alias("count"), F.first("n").alias("n")).where(f"count >= {_need('n')}")
     first = counts.groupBy("c").agg(F.max(F.struct("count", "leader"))["leader"].alias("leader"))
     first = written(first.select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct(), "pairs")
     links = written(_linked(docs, classes, first, levels, words, threshold, seed), "links")
@@ -234,7 +260,9 @@ def link(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> Dat
     named = written(named.join(open_, "token", "left_semi"), "open")
     left, right = (named.select("token", *(F.col(k).alias(f"{k}{x}") for k in ("c", "n", "root"))) for x in "ab")
     rest = left.join(right, "token").where(f"ca < cb AND roota <> rootb AND 100 * least(na, nb) >= {threshold} * greatest(na, nb)")
-    rest = rest.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    # All shingles at which two such classes meet are here, so their number is the whole of what the prefixes share.
+    rest = rest.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("na", "nb")).alias("n"))
+    rest = rest.where(f"shared >= {_need('n')}").select("a", "b")
     rest = written(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     more = written(_linked(docs, classes, rest, levels, words, threshold, seed), "links")
     if not more.isEmpty():

@@ -12,7 +12,8 @@ Large groups: documents with equal sets form one class from the start, and a
 task sends a class once.  Of the classes that meet at a shingle only those next
 to a leader are compared at first; each class keeps the leader that it meets
 most often, if it does so often enough.  Classes linked so are one component.
-Then every remaining pair of
+A few rounds compare each class with the most central class of another component
+that it meets: the original of many near copies links most of them.  Then every remaining pair of
 classes that meet at a shingle, fit in size and are in different components is
 compared, if they meet as often as linked classes must.  No pair that could join
 two components is left out, and pairs inside a component are not made.
@@ -47,6 +48,8 @@ SHARED_PART = 20
 _PIECES = 64
 #: Bound of a worker's memory of words, and of classes a task remembers having sent.
 WORD_MEMORY, SENT = 300_000, 1_000_000
+#: Rounds in which classes are compared with central ones of other components before all that is left is compared.
+LEADER_ROUNDS = 3
 #: Classes up to this number are sent to every task to pick their texts; more are joined by shuffle.
 BROADCAST_CLASSES = 300_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -232,6 +235,23 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, levels, words
     return met.where(f"100 * both >= {threshold} * (size(sa) + size(sb) - both)").select("a", "b").distinct()
 
 
+def _centrality(met: DataFrame) -> DataFrame:
+    """(c, score): how much of a class stands at shingles where many classes meet; the original of many near copies has the most."""
+    size = met.groupBy("token").agg(F.count("*").alias("k"))
+    return met.join(size, "token").groupBy("c").agg((F.sum(F.log2(F.col("k"))) / F.max("n")).alias("score"))
+
+
+def _to_leaders(met: DataFrame, roots: DataFrame, central: DataFrame, turn: int, threshold: int) -> DataFrame:
+    """Pairs (a, b): each class and the leader of another component that it meets most often; leaders are the most central ones, from another half of the classes each turn."""
+    named = met.join(roots, F.col("c") == F.col("node"), "left").select("token", "c", "n", F.coalesce("root", "c").alias("root"))
+    may_lead = F.lit(True) if turn == 0 else F.xxhash64("c", F.lit(turn)) % 2 == 0
+    lead = named.join(central, "c").where(may_lead).groupBy("token").agg(F.max(F.struct("score", "c", "n", "root")).alias("l"))
+    met_lead = named.join(lead, "token").where(f"root <> l.root AND 100 * least(n, l.n) >= {threshold} * greatest(n, l.n)")
+    counts = met_lead.groupBy("c", F.col("l.c").alias("leader")).agg(F.count("*").alias("count"), F.first("n").alias("n")).where(f"count >= {_need('n')}")
+    best = counts.groupBy("c").agg(F.max(F.struct("count", "leader"))["leader"].alias("leader"))
+    return best.select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct()
+
+
 def link(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs; component_id is the smallest doc_id that links reach."""
     spark = docs.sparkSession
@@ -253,6 +273,17 @@ def link(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> Dat
     first = written(first.select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct(), "pairs")
     links = written(_linked(docs, classes, first, levels, words, threshold, seed), "links")
     roots = components(links)
+    tried = first
+    central = written(_centrality(met), "central")
+    for turn in range(LEADER_ROUNDS):
+        more = written(_to_leaders(met, roots, central, turn, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            break
+        tried = written(tried.unionByName(more), "tried")
+        found = written(_linked(docs, classes, more, levels, words, threshold, seed), "links")
+        if not found.isEmpty():
+            links = written(links.unionByName(found), "links")
+            roots = components(links)
 
     # What is left: classes that meet at a shingle and are not yet in one component.
     named = met.join(roots, F.col("c") == F.col("node"), "left").select("token", "c", "n", F.coalesce("root", "c").alias("root"))
@@ -263,7 +294,7 @@ def link(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> Dat
     # All shingles at which two such classes meet are here, so their number is the whole of what the prefixes share.
     rest = rest.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("na", "nb")).alias("n"))
     rest = rest.where(f"shared >= {_need('n')}").select("a", "b")
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
     more = written(_linked(docs, classes, rest, levels, words, threshold, seed), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))

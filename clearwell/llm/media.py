@@ -8,9 +8,14 @@ stored chunks back in order, checks each against its digest, and derives the
 features from the bytes read.  The stored form of a payload is its frames in
 order (8-bit samples before compression, mono).
 
-Hot payloads: a task stores a chunk once however many of its rows have it, so a
-digest arrives at most once from each task; recipes are grouped before any
-chunk is fetched; a payload of one chunk is read straight from the store.
+Storing: a first pass lists digests.  Digests of several documents are owned by
+the smallest doc_id.  Where these are few (SHARED; their number is checked), all
+tasks know them, and each document stores the chunks that it owns: no payload is
+shuffled.  Where they are many, chunks meet by a shuffle on their digest, of
+which a task sends each once.
+
+Hot payloads: recipes are grouped before any chunk is fetched, and a payload of
+one chunk is read straight from the store.
 
 Edge cases: null and empty texts give a payload of padding alone; texts of any
 length are stored whole; equal texts give equal values; repeated rows and ids
@@ -36,8 +41,9 @@ from .gear import Chunker
 CHUNKER = Chunker(bits=15, least=8192, most=131_072)
 LEVEL = 3
 ALIGN = 64
-#: Digests that a task remembers as stored already.
-SEEN = 200_000
+#: Digests that a task remembers as sent already, and digests of several documents that all tasks may know.
+SEEN, SHARED = 200_000, 400_000
+_ID = -(1 << 63)
 FIELDS = [("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
 
 
@@ -51,68 +57,98 @@ def _cut(payload: bytes, chunker: Chunker) -> list[bytes]:
     return [payload[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def chunk(docs: DataFrame, chunker: Chunker = CHUNKER) -> DataFrame:
-    """Rows of two kinds: a document's (doc_id, n_bytes, recipe, digests), and a chunk's (digest, several, frame).
+def _recipe(digests: list[bytes]) -> bytes:
+    return digests[0] if len(digests) == 1 else hashlib.sha256(b"".join(digests)).digest()[:31]
+
 
-    several says that a payload of more than one chunk needs it.
-    """
+def listed(docs: DataFrame, chunker: Chunker = CHUNKER) -> DataFrame:
+    """(doc_id, n_bytes, recipe, digests) of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[bytes, bool]] = set()
-        codec = zstandard.ZstdCompressor(level=LEVEL)
         for b in batches:
-            docs, chunks = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = (t or "").encode()
-                parts = _cut(pad(data), chunker)
-                digests = [hashlib.sha256(p).digest() for p in parts]
-                recipe = digests[0] if len(parts) == 1 else hashlib.sha256(b"".join(digests)).digest()[:31]
-                docs.append((d, len(data), recipe, digests))
-                for x, p in zip(digests, parts, strict=True):
-                    key = (x, len(parts) > 1)
-                    if key not in seen:
-                        if len(seen) < SEEN:
-                            seen.add(key)
-                        chunks.append((*key, codec.compress(p)))
-            n, m = len(docs), len(chunks)
-            ids, sizes, recipes, lists = zip(*docs, strict=True) if docs else ((),) * 4
-            keys, several, frames = zip(*chunks, strict=True) if chunks else ((),) * 3
-            none, nothing = [None] * n, [None] * m
+            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            digests = [[hashlib.sha256(p).digest() for p in _cut(pad(t), chunker)] for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*ids, *nothing], pa.int64()), pa.array([*sizes, *nothing], pa.int64()), pa.array([*recipes, *nothing], pa.binary()), pa.array([*lists, *nothing], pa.list_(pa.binary())),
-                 pa.array([*none, *keys], pa.binary()), pa.array([*none, *several], pa.bool_()), pa.array([*none, *frames], pa.binary())],
-                ["doc_id", "n_bytes", "recipe", "digests", "digest", "several", "frame"],
+                [b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(_recipe, digests), pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "recipe", "digests"]
             )
 
-    schema = "doc_id long, n_bytes long, recipe binary, digests array<binary>, digest binary, several boolean, frame binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return _rows(docs).mapInArrow(run, "doc_id long, n_bytes long, recipe binary, digests array<binary>")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
 
+class Owners:
+    """Digests of several documents and who owns them, in arrays that all tasks share."""
 
-def store(docs: DataFrame, chunker: Chunker = CHUNKER) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, recipes, chunks) as tables: (doc_id, n_bytes, recipe); (recipe, place, digest); (digest, several, alone, frame)."""
-    prepare(docs.sparkSession)
-    rows = chunk(docs, chunker)
+    def __init__(self, rows: list):
+        parts = sorted((int.from_bytes(r["digest"][:8], "big"), int.from_bytes(r["digest"][8:16], "big"), r["owner"]) for r in rows)
+        self.high, self.low = (np.array([p[k] for p in parts], np.uint64) for k in (0, 1))
+        self.owner = np.array([p[2] for p in parts], np.int64)
 
-    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A partition has the rows of a digest together, in any order: first by digest, then those for several.
-        last = None
+    def of(self, digest: bytes) -> int | None:
+        high, low = int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:16], "big")
+        k = int(np.searchsorted(self.high, np.uint64(high)))
+        while k < len(self.high) and self.high[k] == high:
+            if self.low[k] == low:
+                return int(self.owner[k])
+            k += 1
+        return None
+
+
+def stored(docs: DataFrame, chunker: Chunker, owners=None) -> DataFrame:
+    """(digest, several, frame): the chunks that documents own, or all that a task has not sent yet; several: a payload of more than one chunk needs it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[bytes, bool]] = set()
+        codec, known = zstandard.ZstdCompressor(level=LEVEL), owners.value if owners else None
         for b in batches:
-            keep = []
-            for k, x in enumerate(b.column(0).to_pylist()):
-                if x is None or x != last:
-                    keep.append(k)
-                last = x
-            yield b.take(pa.array(keep, pa.int64()))
-
-    # One shuffle carries both kinds: chunks by digest, documents by id, for a recipe may be that of most.
-    spread = rows.repartition(F.coalesce("digest", F.xxhash64("doc_id").cast("string").cast("binary")))
-    both = spread.select("digest", "several", "frame", "doc_id", "n_bytes", "recipe", "digests").sortWithinPartitions("digest", F.desc("several"))
-    kept = both.mapInArrow(once, "digest binary, several boolean, frame binary, doc_id long, n_bytes long, recipe binary, digests array<binary>")
-    kept = written(kept, "media")
-    documents = kept.where("digest IS NULL").select("doc_id", "n_bytes", "recipe", "digests")
-    lists = documents.where("size(digests) > 1").groupBy("recipe").agg(F.first("digests").alias("digests"))
-    recipes = lists.select("recipe", F.posexplode("digests").alias("place", "digest"))
-    return documents.drop("digests"), recipes, kept.where("digest IS NOT NULL").select("digest", "several", "frame")
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts = _cut(pad((t or "").encode()), chunker)
+                for p in parts:
+                    x = hashlib.sha256(p).digest()
+                    owner = known.of(x) if known else None
+                    if owner is not None and owner != (_ID if d is None else d) or (x, len(parts) > 1) in seen:
+                        continue
+                    if len(seen) < SEEN and (owner is not None or not known):
+                        seen.add((x, len(parts) > 1))
+                    # Whoever owns a shared chunk cannot know whether others need it among several.
+                    rows.append((x, len(parts) > 1 or owner is not None, codec.compress(p)))
+            x, s, f = zip(*rows, strict=True) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(s, pa.bool_()), pa.array(f, pa.binary())], ["digest", "several", "frame"])
+
+    return _rows(docs).mapInArrow(run, "digest binary, several boolean, frame binary")
+
+
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of digest the first of each."""
+    last = None
+    for b in batches:
+        keep = []
+        for k, x in enumerate(b.column(0).to_pylist()):
+            if x != last:
+                keep.append(k)
+            last = x
+        yield b.take(pa.array(keep, pa.int64()))
+
+
+def store(docs: DataFrame, chunker: Chunker = CHUNKER, most_shared: int = SHARED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, recipes, chunks) as tables: (doc_id, n_bytes, recipe); (recipe, place, digest); (digest, several, frame)."""
+    spark = docs.sparkSession
+    prepare(spark)
+    lists = written(listed(docs, chunker), "media-lists")
+    each = lists.select(F.coalesce("doc_id", F.lit(_ID)).alias("doc_id"), F.explode(F.array_distinct("digests")).alias("digest"))
+    shared = each.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner").limit(most_shared + 1).collect()
+    if len(shared) <= most_shared:
+        chunks = stored(docs, chunker, spark.sparkContext.broadcast(Owners(shared)))
+    else:
+        rows = stored(docs, chunker).repartition("digest").sortWithinPartitions("digest", F.desc("several"))
+        chunks = rows.mapInArrow(_once, "digest binary, several boolean, frame binary")
+    chunks = written(chunks, "media-chunks")
+    several = lists.where("size(digests) > 1").groupBy("recipe").agg(F.first("digests").alias("digests"))
+    return lists.drop("digests"), several.select("recipe", F.posexplode("digests").alias("place", "digest")), chunks
 
 
 def read(documents: DataFrame, recipes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -121,7 +157,8 @@ def read(documents: DataFrame, recipes: DataFrame, chunks: DataFrame) -> DataFra
     parts = recipes.join(chunks.where("several").drop("several"), "digest", "left")
     ordered = parts.select("recipe", "place", "digest", "frame").repartition("recipe").sortWithinPartitions("recipe", "place")
     joined = ordered.mapInArrow(_features_joined, _schema())
-    found = written(single.unionByName(joined), "features")
+    # Rows that repeat an id may both have stored their chunk.
+    found = written(single.unionByName(joined).dropDuplicates(["recipe"]), "features")
     return documents.join(found, "recipe", "left").drop("recipe")
 
 
@@ -154,7 +191,7 @@ def _features_alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _features_joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Payloads from their chunks, which come in order; holds one payload at a time."""
     codec = zstandard.ZstdDecompressor()
-    recipe, parts, frames, digests = None, [], [], []
+    recipe, place, parts, frames, digests = None, None, [], [], []
 
     def done() -> tuple:
         if hashlib.sha256(b"".join(digests)).digest()[:31] != recipe:
@@ -163,11 +200,14 @@ def _features_joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     for b in batches:
         rows = []
-        for r, x, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for r, k, x, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if r != recipe:
                 if recipe is not None:
                     rows.append(done())
-                recipe, parts, frames, digests = r, [], [], []
+                recipe, place, parts, frames, digests = r, None, [], [], []
+            if k == place:
+                continue
+            place = k
             parts.append(_open(codec, x, f))
             frames.append(f)
             digests.append(x)

@@ -86,7 +86,11 @@ def test_op2_small_chunks_are_shared_and_damage_is_seen(spark):
 
     text = "".join(sha(str(k)) for k in range(200))
     docs = spark.createDataFrame([(1, text), (2, "before " + text)], "doc_id long, text string")
-    documents, recipes, chunks = media.store(docs, Chunker(bits=8, least=64, most=1024))
+    small = Chunker(bits=8, least=64, most=1024)
+    documents, recipes, chunks = media.store(docs, small)
+    by_shuffle = media.store(docs, small, most_shared=0)
+    assert sorted(map(tuple, chunks.select("digest", "frame").collect())) == sorted(map(tuple, by_shuffle[2].select("digest", "frame").collect()))
+    assert sorted(map(tuple, media.read(*by_shuffle).collect())) == sorted(map(tuple, media.read(documents, recipes, chunks).collect()))
     assert recipes.count() > chunks.count() and chunks.select("digest").distinct().count() == chunks.count()
     found = got(media.read(documents, recipes, chunks), "doc_id")
     assert found[2]["payload_sha256"] == hashlib.sha256(media.pad(("before " + text).encode())).hexdigest()

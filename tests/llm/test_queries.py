@@ -11,6 +11,7 @@ import pytest
 
 from clearwell.llm import decontaminate, media, page_diff, pieces, queries, rans, reply_tree, shingle_join, substring_dedup, toxicity, url_filter
 from clearwell.llm.common import shared_folder, table
+from clearwell.llm.components import components
 from clearwell.llm.queries import QUERIES, tokenizer_file
 
 
@@ -287,6 +288,22 @@ def test_op8_chains_and_groups(spark):
     assert {d: (r["n_shingles"], r["component_id"]) for d, r in found.items()} == plain_components(docs)
 
 
+def test_op8_long_chain(spark):
+    words = [sha(str(k))[:8] for k in range(8200)]
+    order = sorted(range(1000), key=lambda k: sha(f"at {k}"))
+    docs = [(order[k], " ".join(words[8 * k : 8 * k + 120])) for k in range(1000)]  # each like the next alone
+    found = got(shingle_join.link(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)), "doc_id")
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in found.items()} == plain_components(docs)
+    assert {r["component_id"] for r in found.values()} == {0}
+
+
+def test_components_of_paths(spark):
+    order = sorted(range(1000), key=lambda k: sha(f"at {k}"))
+    edges = [*zip(order, order[1:], strict=False), (5000, 4000), (3000, 4000), (7000, 7000)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(1000), 0), **dict.fromkeys((3000, 4000, 5000), 3000)}
+
+
 def test_op8_awkward(awkward, empty):
     found = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in shingle_join.link(awkward).collect()))
     assert [(d, c) for n, d, _, c in found if not n] == [(1, 1), (2, 2), (3, 3), (3, 3), (5, 5), (6, 3), (9, 9)] and found[-1][3] is None

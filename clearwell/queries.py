@@ -424,6 +424,13 @@ def injected_filter(spark, sf_dir):
     return texts.delete_spans(docs.withColumn("needles", F.array(F.lit("the "), F.lit("and ")))).select("doc_id", F.sha2("cleaned", 256).alias("text_sha256"))
 
 
+@query("""SELECT doc_id, sha256(regexp_replace(text, 'the |and ', '', 'g')) AS text_sha256 FROM documents""")
+def injected_filter_whole(spark, sf_dir):
+    # Every document: one pass over the text, where a seam that reads like a needle stays.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return texts.delete_spans(docs.withColumn("needles", F.array(F.lit("the "), F.lit("and ")))).select("doc_id", F.sha2("cleaned", 256).alias("text_sha256"))
+
+
 @query("""SELECT user_id, count(*) AS n_events, CAST(min(event_id) AS BIGINT) AS first_event FROM events GROUP BY user_id""")
 def notices_once(spark, sf_dir):
     from .streaming import notices

@@ -11,6 +11,7 @@ from clearwell.functions import rehydrate
 from clearwell.functions.spans import Pair
 from clearwell.operators import layer1, markup, redact, relational, texts, toolcalls
 from clearwell.plans import sanitize
+from clearwell.queries import QUERIES
 from clearwell.sources import files, stores
 from clearwell.streaming import notices
 
@@ -157,3 +158,20 @@ def test_texts(spark):
     assert [(r["cleaned"], r["n_removed"]) for r in texts.delete_spans(df).orderBy("doc_id").collect()] == [("aa", 1), ("", 0)]
     spans = spark.createDataFrame([(1, 0, 5, "comment"), (1, 1, 3, "hidden"), (1, 5, 6, "comment")], "k int, start int, end int, kind string")
     assert relational.outermost(spans, "k").count() == 2 and relational.merge_spans(spans, "k").count() == 2 and relational.merge_spans(spans, "k", abutting=True).count() == 1
+
+
+def test_injected_filter_reads_every_document(spark, tmp_path):
+    rows = [(1, "the thande and x"), (2, "weathethe r anandd "), (3, "plain")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: "thande x", 2: "weather anandd ", 3: "plain"}
+    found = {r["doc_id"]: r["text_sha256"] for r in QUERIES["injected_filter_whole"](spark, str(tmp_path)).collect()}
+    assert found == {d: hashlib.sha256(brute(t).encode()).hexdigest() for d, t in rows} and {d: brute(t) for d, t in rows} == want
+
+
+def brute(text, needles=("the ", "and ")):
+    """One pass over text, place by place."""
+    out, at = "", 0
+    while at < len(text):
+        hit = next((n for n in needles if text.startswith(n, at)), None)
+        out, at = (out, at + len(hit)) if hit else (out + text[at], at + 1)
+    return out

@@ -225,7 +225,8 @@ def long_runs_salted(spark, sf_dir):
 
 @query("""SELECT doc_id, 1 + length(text) - length(replace(text, chr(10), '')) AS line, CAST(12 AS INTEGER) AS char_count, 'zero-width-binary' AS method, '000000000000' AS decoded FROM documents WHERE doc_id % 11 = 0""")
 def instruction_scan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 11 = 0").select("doc_id", F.concat("text", F.repeat(F.lit(ZWSP), 12)).alias("text"))
+    text = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.repeat(F.lit(ZWSP), 12))).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     return texts.scan_instructions(docs).select("doc_id", F.col("line").cast("long").alias("line"), "char_count", "method", "decoded")
 
 

@@ -175,3 +175,9 @@ def brute(text, needles=("the ", "and ")):
         hit = next((n for n in needles if text.startswith(n, at)), None)
         out, at = (out, at + len(hit)) if hit else (out + text[at], at + 1)
     return out
+
+
+def test_instruction_scan_reads_every_document(spark, tmp_path):
+    spark.createDataFrame([(1, "a\nb" + Z * 12), (2, "clean"), (11, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r)[:3] for r in QUERIES["instruction_scan"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert found == [(1, 2, 12), (11, 1, 12)]

@@ -259,7 +259,8 @@ def exfil_params_salted(spark, sf_dir):
 
 @query("""SELECT page_id, 'warning' AS severity, 'xn--pple-43d.example' AS ascii_host, 'apple.example' AS reads FROM pages WHERE page_id % 10 = 0""")
 def host_confusables_salted(spark, sf_dir):
-    text = F.when(F.col("page_id") % 10 == 0, F.lit("see https://\u0430pple.example/x and https://apple.example/")).otherwise(F.lit("see https://apple.example/"))
+    seen = F.when(F.col("page_id") % 10 == 0, F.lit(" see https://\u0430pple.example/x and https://apple.example/")).otherwise(F.lit(" see https://apple.example/"))
+    text = F.concat(F.coalesce("html", F.lit("")), seen)
     out = markup.report_urls(table(spark, sf_dir, "pages").select("page_id", text.alias("text")))
     return out.select("page_id", F.explode("l3.hosts").alias("h")).select("page_id", "h.severity", "h.ascii_host", "h.reads")
 

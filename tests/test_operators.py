@@ -181,3 +181,10 @@ def test_instruction_scan_reads_every_document(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb" + Z * 12), (2, "clean"), (11, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = [tuple(r)[:3] for r in QUERIES["instruction_scan"](spark, str(tmp_path)).orderBy("doc_id").collect()]
     assert found == [(1, 2, 12), (11, 1, 12)]
+
+
+def test_host_confusables_reads_the_pages(spark, tmp_path):
+    pages = [(1, "<p>go to https://аpple.example/y</p>"), (2, "<p>plain</p>"), (10, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = QUERIES["host_confusables_salted"](spark, str(tmp_path)).where("reads = 'apple.example'").collect()
+    assert {r["page_id"] for r in found} == {1, 10}

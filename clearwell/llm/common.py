@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch; with texts of some hundred KB a batch stays under some hundred MB.
 BATCH_ROWS = 512
+#: Rows of a batch of a few numbers each.
+NARROW_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +26,33 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Rows of an Arrow batch for the jobs that run inside; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint directory set in the session.
+
+    Without either, a session on one machine uses its warehouse; elsewhere that is an error.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
+    given = context._jsc.sc().getCheckpointDir()
+    if folder is None and given.isDefined():
+        folder = given.get()
     if folder is None:
-        folder = getattr(context, "_clearwell_folder", None)
-        if folder is None:
-            folder = context._clearwell_folder = tempfile.mkdtemp(prefix="clearwell-")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
+    if given.isEmpty():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 

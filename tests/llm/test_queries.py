@@ -307,7 +307,15 @@ def test_components_of_paths(spark):
 def test_op8_awkward(awkward, empty):
     found = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in shingle_join.link(awkward).collect()))
     assert [(d, c) for n, d, _, c in found if not n] == [(1, 1), (2, 2), (3, 3), (3, 3), (5, 5), (6, 3), (9, 9)] and found[-1][3] is None
-    assert shingle_join.link(empty).count() == 0 and shingle_join.dedup(awkward).count() == len(AWKWARD) - 1
+    assert shingle_join.link(empty).count() == 0 and shingle_join.dedup(empty).count() == 0
+    left = shingle_join.dedup(awkward)  # repeated rows are copies of each other too
+    assert left.columns == awkward.columns and sorted((r["doc_id"] or 0, r["text"], r["score"]) for r in left.collect()) == sorted((d or 0, t, "z") for d, t in {*AWKWARD} - {(6, "a b c d e f g")})
+
+
+def test_op8_rows_that_share_an_id(spark):
+    docs = [(1, "a b c d e f", 1), (5, "a b c d e f", 2), (5, "quite another text stands here", 3), (5, "quite another text stands here", 3), (7, "quite another text stands here", 4), (None, "p q r s t u v", 5), (8, "p q r s t u v", 6), (1, "", 7)]
+    left = shingle_join.dedup(spark.createDataFrame(docs, "doc_id long, text string, first long"))
+    assert sorted(r["first"] for r in left.collect()) == [1, 3, 5, 7]
 
 
 def plain_hits(docs, items, size=13):

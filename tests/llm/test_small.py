@@ -142,16 +142,22 @@ def test_shingles():
 
 def test_similar_sets_share_prefixes_under_every_order():
     rng = np.random.default_rng(6)
-    levels = np.zeros(1 << shingle_join.SKETCH_BITS, np.uint8)
-    for _ in range(200):
+    for _ in range(400):
         n = int(rng.integers(1, 300))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: max(1, len(a) - int(rng.integers(0, 6)))], rng.integers(0, 2**63, int(rng.integers(0, 6))).astype(np.uint64)]))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 80 * (len(a) + len(b) - both):
-            for order in range(3):
-                shared = np.intersect1d(shingle_join.prefix(a, levels, order), shingle_join.prefix(b, levels, order))
-                assert len(shared) >= min(shingle_join.need(len(a)), shingle_join.need(len(b)))
+        edits = 1 + n // 12
+        b = np.unique(np.concatenate([a[: max(1, len(a) - int(rng.integers(0, edits)))], rng.integers(0, 2**63, int(rng.integers(0, edits))).astype(np.uint64)]))
+        both = np.intersect1d(a, b)
+        if 100 * len(both) >= 80 * (len(a) + len(b) - len(both)):
+            assert len(both) >= shingle_join.share(len(a), len(b))
+            shared = np.intersect1d(shingle_join.prefix(a), shingle_join.prefix(b))
+            assert len(shared) >= shingle_join.need(min(len(a), len(b)))
+            df = {x: int(rng.integers(1, 50)) for x in np.union1d(a, b).tolist()}
+            useful = [np.array([x for x in s.tolist() if x in both or rng.random() < 0.3], np.uint64) for s in (a, b)]
+            first = [shingle_join.late_prefixes(len(s), np.array([df[x] for x in u.tolist()]), u) for s, u in zip((a, b), useful)]
+            room = [len(u) - shingle_join.share(len(a), len(b)) + 1 for u in useful]
+            for x, y in zip(*first):
+                assert set(x[: room[0]].tolist()) & set(y[: room[1]].tolist())
 
 
 def test_toxicity_windows_cover_the_text():

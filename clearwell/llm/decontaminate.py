@@ -7,14 +7,15 @@ only where it is there are the window's own hash and then its very text looked
 up.  So a hit is always verified by equal words.
 
 The sets travel as literals of the plan.  They hold the benchmark, not the
-corpus, and their size is checked: beyond LITERAL_WINDOWS windows the documents'
-windows are joined with the items' windows by shuffle instead, by the same
-rules (see scan_by_join()).
+corpus, and their size is checked: beyond LITERAL_WINDOWS windows or LITERAL_BYTES
+the documents' windows are joined with the items' windows by shuffle instead, by
+the same rules and with the same result (see scan_by_join()).
 
 Edge cases: null and empty texts, and texts without words, have no words, no
 hits and are clean; items without words are ignored; items that share a window
-all count; repeated documents are judged row by row; other columns are kept, and
-names that clash with the result's are replaced by it; an empty benchmark leaves
+all count; repeated documents are judged row by row; very long texts are scanned
+whole; other columns are kept by scan(), where the result replaces those of its own names, and clean() returns
+docs' own columns as they are; an empty benchmark leaves
 all documents clean, an empty table of documents gives an empty result.
 """
 
@@ -23,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 13
-#: Windows whose hashes and texts a plan may hold as literals.
-LITERAL_WINDOWS = 60_000
+#: Windows whose hashes and texts a plan may hold as literals, and bytes of these texts.
+LITERAL_WINDOWS, LITERAL_BYTES = 60_000, 16_000_000
 #: Bytes below U+0080 that are neither a digit nor a letter, after lower-casing A-Z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,10 +51,10 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 def scan(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = LITERAL_WINDOWS) -> DataFrame:
     """docs with n_words, hit_spans (1-based word positions, last included, disjoint), n_hit, items (ids, sorted) and contaminated."""
     grams = item_windows(items, size).groupBy("k", "gram").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    found = grams.limit(limit + 1).collect()
-    if len(found) > limit:
+    many = grams.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)).alias("bytes")).first()
+    if many["n"] > limit or many["bytes"] > LITERAL_BYTES:
         return _verdict(scan_by_join(docs, grams))
-    return _verdict(scan_by_literals(docs, found))
+    return _verdict(scan_by_literals(docs, grams.collect()))
 
 
 def scan_by_literals(docs: DataFrame, grams: list) -> DataFrame:
@@ -88,9 +91,7 @@ def scan_by_join(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """The same for benchmarks of any size: windows meet by a shuffle join on their hash, then on their text."""
     lengths = sorted(r["k"] for r in grams.select("k").distinct().collect())  # at most WINDOW values
     out = docs.withColumn("__w", words()).withColumn("n_words", F.size("__w")).withColumn("__row", F.struct(F.monotonically_increasing_id()))
-    spark = docs.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        out = out.checkpoint()  # row numbers stay the same when a task runs again
+    out = written(out, "numbered")  # row numbers stay the same when a task runs again
 
     def of_length(k: int):
         grams = F.transform(F.sequence(F.lit(1), F.size("__w") - k + 1), lambda i: F.struct(i.alias("p"), F.lit(k).alias("k"), F.array_join(F.slice("__w", i, F.lit(k)), " ").alias("gram")))
@@ -125,10 +126,11 @@ def _verdict(scanned: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = LITERAL_WINDOWS) -> DataFrame:
-    """The documents of which the items' windows cover less than a twentieth, with docs' columns."""
+    """The rows of docs of which the items' windows cover less than a twentieth."""
     # The row number in the condition keeps the optimizer from copying the whole scan into the filter.
-    judged = scan(docs, items, size, limit).withColumn("__row", F.monotonically_increasing_id())
-    return judged.where("NOT contaminated AND __row >= 0").select(docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "text")
+    judged = scan(whole, items, size, limit).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where("NOT contaminated AND __row >= 0").select("__doc.*")
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ back the text.  The loss mask covers the escaped texts of assistant turns.
 Edge cases: null texts and roles are empty ones; turns with equal numbers stand
 in the order of role and text, and repeated rows stay repeated; null turns come
 first; a null conversation id is a conversation of its own; other columns are
-ignored; a message whose parent is missing is a root; messages in a cycle have
-no root and are left out; an empty table gives an empty result.
+ignored; a message whose parent is missing is a root; messages in a cycle, and
+those below one, have no root and are left out; equal scores are settled by the
+longer branch, then the smaller leaf; very long texts and paths are kept whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,16 +64,18 @@ def paths(messages: DataFrame) -> DataFrame:
     found = edges.join(inner, ["c", "node"], "left_anti").select("c", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     jump = edges.where("parent IS NOT NULL").select("c", "node", F.col("parent").alias("above"))
     step = 1
-    # Cycles have no leaf above them, but a leaf may lead into one: its path would never end.
+    # A leaf may lead into a cycle: its path would never end.
     bound = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     while step <= bound:
         further = found.join(jump, ["c", "node"]).select("c", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
         found = written(found.unionByName(further), "paths")
         jump = written(jump.join(jump.select("c", F.col("node").alias("above"), F.col("above").alias("next")), ["c", "above"]).select("c", "node", F.col("next").alias("above")), "jumps")
         if jump.isEmpty():
-            break
+            return found
         step *= 2
-    return found
+    # A cycle is left, or the next round would have found no jump: only paths that end at a root count.
+    rooted = found.join(edges.where("parent IS NULL").select("c", "node"), ["c", "node"], "left_semi").select("c", "leaf").distinct()
+    return found.join(rooted, ["c", "leaf"], "left_semi")
 
 
 def best_branches(messages: DataFrame) -> DataFrame:

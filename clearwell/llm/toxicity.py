@@ -13,11 +13,19 @@ two lengths holds only what sets the classes apart.  Windows are short enough
 that zstandard stores their literals as they are, and each is followed by a
 carrier that both dictionaries know, so no window falls back to a raw block.
 
+The toxic block's words are chosen before it is trained: toxic text is ordinary
+text but for a few words, and a dictionary trained on all of its running text
+learns the language instead of them (the README has figures).
+
 Edge cases: null and empty texts have no window and get the score of the
 intercept alone; a text of any length is scored whole, window by window, in
 constant memory; equal texts get equal scores; with labels of one class only
 (or none) no dictionary can be trained and every score is the share of toxic
-labels (0.0 without labels).
+labels (0.0 without labels).  An id labelled several times counts as toxic if one
+of its labels does, and where several documents share a labelled id the least
+text is learned; repeated rows are scored row by row; a score of 0.5 is toxic;
+null ids are no held-out rows; an empty table gives an empty result.  classify()
+replaces columns named like its own; drop_toxic() adds and replaces none.
 """
 
 from __future__ import annotations
@@ -35,10 +43,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of each label that the fit may gather on the driver, and characters of
-#: each of them that it reads there.  Scoring always reads whole texts.
+#: Rows of each label that the fit may gather on the driver.  Their texts are read whole, as scoring does.
 FIT_ROWS = {1: 1500, 0: 2500}
-FIT_CHARS_PER_ROW = 12_000
 WINDOW_BYTES = 52
 SPECIFIC_BYTES = 2048
 COMMON_BYTES = 32_768
@@ -218,13 +224,13 @@ def fit_from(docs: DataFrame, labels: DataFrame) -> Model:
     Rows for which held_out() is true are not used.  The sample's ids are few
     whatever the size of the tables, so they are what the join broadcasts.
     """
-    known = labels.select("doc_id", F.col("toxic").alias("y")).where(F.col("doc_id").isNotNull() & ~held_out())
+    known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = None
     for y, n in FIT_ROWS.items():
-        part = known.where(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", F.substring("text", 1, FIT_CHARS_PER_ROW).alias("t"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
+    texts = docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
     return fit((r["t"], r["y"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["t"] or "")))
 
 
@@ -243,3 +249,8 @@ def score_column(model: Model, text: str = "text"):
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 from 0.5)."""
     return docs.withColumns({"held_out": held_out(), "score": score_column(model)}).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score under 0.5."""
+    return docs.where(score_column(model) < 0.5)

@@ -2,8 +2,8 @@
 
 A rule is a host and a path; it fits that host and its subdomains where the
 URL's path starts with the rule's.  Each distinct URL is expanded into every
-pair of a host suffix and a path prefix that a rule could be (prefixes only of
-the lengths that rules have); the pairs meet the rules in an equi-join on the
+pair of a host suffix and a path prefix that a rule could be (suffixes of no
+more labels than rules have, prefixes only of the lengths that rules have); the pairs meet the rules in an equi-join on the
 first PREFIX_BYTES bytes of their SHA-256, then full digests are compared.  Of
 the rules that fit, the longest wins; of equally long ones the one with the
 longer host, then blocking.
@@ -11,7 +11,8 @@ longer host, then blocking.
 Edge cases: a null URL and one without "://" have an empty host and path, fit
 no rule and get the default verdict; a host keeps its port and user part as
 they stand; an empty path does not start with "/"; repeated rows stay repeated;
-other columns are kept; empty tables give empty results.
+very long URLs are read whole, and a host of very many labels gives no more pairs than one of few; other columns
+are kept, and those named host, path, rule or verdict are replaced by the result's; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -47,8 +48,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """pages with host, path, rule (null if none fits) and verdict."""
     best = Window.partitionBy("host", "path").orderBy(F.when(F.col("verdict") == "block", 0).otherwise(1), "rule")
     rules = rules.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
-    rules = rules.select("verdict", "rule", F.length("rule").alias("size"), F.length("host").alias("host_size"), F.length("path").alias("path_size"), F.sha2(F.concat_ws("\n", F.translate("host", _UPPER, _LOWER), "path"), 256).alias("digest"))
+    rules = rules.select("verdict", "rule", F.length("rule").alias("size"), F.length("host").alias("host_size"), F.length("path").alias("path_size"), F.size(F.split("host", r"\.")).alias("labels"), F.sha2(F.concat_ws("\n", F.translate("host", _UPPER, _LOWER), "path"), 256).alias("digest"))
     lengths = [r[0] for r in rules.select("path_size").distinct().collect()]  # lengths of rules' paths: few
+    longest = rules.agg(F.max("labels")).first()[0] or 1
     known = rules.limit(BROADCAST_RULES + 1).count()
     rules = rules.withColumn("key", F.substring("digest", 1, 2 * PREFIX_BYTES))
     if known <= BROADCAST_RULES:
@@ -57,7 +59,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     host, path = host_and_path()
     urls = pages.select("url").distinct().withColumns({"host": host, "path": path})
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - longest + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array_compact(F.array(*(F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in lengths))) if lengths else F.array().cast("array<string>")
     pairs = urls.where("host <> ''").select("url", F.explode(suffixes).alias("h"), prefixes.alias("p")).select("url", "h", F.explode("p").alias("p"))
     pairs = pairs.withColumn("full", F.sha2(F.concat_ws("\n", "h", "p"), 256)).withColumn("key", F.substring("full", 1, 2 * PREFIX_BYTES))

@@ -94,11 +94,15 @@ def test_padding():
 def test_remove_cuts_at_words():
     text = "First words here. " + " ".join(f"word{k}" for k in range(60)) + " and the end, ñ."
     n = len(substring_dedup.CHUNKER.ends(text.encode()))
-    total, repeats, words, spans, left = substring_dedup.remove(text, list(range(2, n - 2)))
-    assert total == n and repeats == n - 4 and words >= 40 and len(spans) == 1
+    run = {"start": 2, "end": n - 3, "before": b"other", "after": b""}
+    total, runs, words, spans, left = substring_dedup.remove(text, [run])
+    assert total == n and runs == 1 and words >= 40 and len(spans) == 1
     assert left == text[: spans[0]["start"]] + text[spans[0]["end"] :]
     assert set(left.split()) <= set(text.split())
-    assert substring_dedup.remove(text, [3])[4] == text and substring_dedup.remove(None, [])[4] is None
+    whole = substring_dedup.remove(text, [run | {"before": b"?" + text.encode()[6 : substring_dedup.CHUNKER.ends(text.encode())[1]], "after": b"!"}])
+    assert whole[2] > words and whole[4].startswith("First words") and not whole[4].startswith("First words here. word0")
+    assert substring_dedup.remove(text, [run | {"end": 3}])[4] == text
+    assert substring_dedup.remove(None, [])[4] is None
 
 
 def brute_lcs(a, b):

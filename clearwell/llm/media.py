@@ -1,26 +1,28 @@
 """Media columns: content-defined chunks of payloads, stored once, and read back verified.
 
-A payload is cut by a gear rolling hash.  Chunks are told apart by SHA-256; each
-is stored once, as a zstandard frame, and a payload is kept as its recipe, the
-list of its chunks' digests.  Documents with equal payloads share a recipe, and
-Spark joins on digests bring chunks and recipes together.  Reading joins the
-stored chunks back in order, checks each against its digest, and derives the
-features from the bytes read.  The stored form of a payload is its frames in
-order (8-bit samples before compression, mono).
-
-Storing: a first pass lists digests.  Digests of several documents are owned by
-the smallest doc_id.  Where these are few (SHARED; their number is checked), all
-tasks know them, and each document stores the chunks that it owns: no payload is
-shuffled.  Where they are many, chunks meet by a shuffle on their digest, of
-which a task sends each once.
-
-Hot payloads: recipes are grouped before any chunk is fetched, and a payload of
-one chunk is read straight from the store.
+A payload is cut by a gear rolling hash.  Chunks are told apart by SHA-256, and a
+payload is its recipe, the ordered list of its chunks' digests.  Equal payloads
+share a recipe.  Spark joins on digests find the chunks that several recipes
+have; the least of these owns such a chunk and stores it, as a zstandard frame,
+and the others only name it.  The store has a pack for each recipe: the list, the
+frames it owns, which digests it lacks (foreign) and which others need (lent).
+
+Reading puts each payload together again in the order of its list.  A pack that
+lacks nothing is read where it lies; only lent frames and packs that lack some
+are brought together, by joins on digest and recipe.  Each chunk is checked
+against its digest, and the features come from the bytes read.  The stored form
+of a payload is its frames in order (8-bit samples before compression, mono).
+
+Hot payloads and chunks: recipes are grouped before their chunks are counted, and
+digests are counted by partial aggregation.  What a document must know to store
+its pack goes to all tasks if that is little (its number is checked), else it is
+joined by shuffle; the result is the same.
 
 Edge cases: null and empty texts give a payload of padding alone; texts of any
 length are stored whole; equal texts give equal values; repeated rows and ids
-stay repeated; other columns are ignored; an empty table gives an empty store
-and an empty result.  A damaged chunk raises an error.
+stay repeated; a chunk that a payload repeats is stored once; other columns are
+ignored, whatever their names; an empty table gives an empty store and an empty
+result.  A damaged or missing chunk raises an error.
 """
 
 from __future__ import annotations
@@ -38,13 +40,14 @@ from pyspark.sql import functions as F
 from .common import prepare, written
 from .gear import Chunker
 
-CHUNKER = Chunker(bits=15, least=8192, most=131_072)
-LEVEL = 3
+CHUNKER = Chunker(bits=11, least=512, most=16_384)
+LEVEL = 9
 ALIGN = 64
-#: Digests that a task remembers as sent already, and digests of several documents that all tasks may know.
-SEEN, SHARED = 200_000, 400_000
+#: Rows that all tasks may know, of documents that do not store all of their chunks.
+BROADCAST_ROWS = 300_000
 _ID = -(1 << 63)
 FIELDS = [("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")]
+PACK = "recipe binary, digests array<binary>, frames array<binary>, missing array<binary>, lent array<binary>"
 
 
 def pad(data: bytes) -> bytes:
@@ -52,114 +55,131 @@ def pad(data: bytes) -> bytes:
     return data + bytes(-len(data) % ALIGN or (0 if data else ALIGN))
 
 
-def _cut(payload: bytes, chunker: Chunker) -> list[bytes]:
+def _cut(text: str | None, chunker: Chunker) -> tuple[list[bytes], list[bytes], bytes]:
+    """Chunks of a text's payload, their digests, and the recipe's name."""
+    payload = pad((text or "").encode())
     ends = chunker.ends(payload)
-    return [payload[a:b] for a, b in zip([0, *ends], ends)]
+    parts = [payload[a:b] for a, b in zip([0, *ends], ends)]
+    digests = [hashlib.sha256(p).digest() for p in parts]
+    return parts, digests, _recipe(digests)
 
 
 def _recipe(digests: list[bytes]) -> bytes:
-    return digests[0] if len(digests) == 1 else hashlib.sha256(b"".join(digests)).digest()[:31]
+    return hashlib.sha256(b"".join(digests)).digest()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"id": F.coalesce("doc_id", F.lit(_ID)), "h": F.coalesce(F.xxhash64("text"), F.lit(0))})
 
 
 def listed(docs: DataFrame, chunker: Chunker = CHUNKER) -> DataFrame:
-    """(doc_id, n_bytes, recipe, digests) of each row."""
+    """(doc_id, id, h, n_bytes, recipe, digests) of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            digests = [[hashlib.sha256(p).digest() for p in _cut(pad(t), chunker)] for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(_recipe, digests), pa.binary()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "recipe", "digests"]
-            )
-
-    return _rows(docs).mapInArrow(run, "doc_id long, n_bytes long, recipe binary, digests array<binary>")
-
+            texts = b.column(3).to_pylist()
+            cut = [_cut(t, chunker) for t in texts]
+            sizes = pa.array([len((t or "").encode()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], sizes, pa.array([x[2] for x in cut], pa.binary()), pa.array([x[1] for x in cut], pa.list_(pa.binary()))], ["doc_id", "id", "h", "n_bytes", "recipe", "digests"])
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _keyed(docs).select("doc_id", "id", "h", "text").mapInArrow(run, "doc_id long, id long, h long, n_bytes long, recipe binary, digests array<binary>")
 
 
-class Owners:
-    """Digests of several documents and who owns them, in arrays that all tasks share."""
+def owners(lists: DataFrame) -> DataFrame:
+    """(id, h, recipe, copy, missing, lent): the documents that store nothing, and those with chunks that other recipes have too."""
+    named = lists.groupBy("recipe").agg(F.min(F.struct("id", "h")).alias("k"), F.first("digests").alias("digests"), F.count("*").alias("n"))
+    named = written(named, "recipes")
+    # Rows that repeat an id and a text all store the pack; readers take one.
+    copies = lists.select("recipe", "id", "h").join(_sent(named.where("n > 1").select("recipe", "k")), "recipe").where("id <> k.id OR h <> k.h")
+    copies = copies.select("id", "h", "recipe").distinct().select("*", F.lit(True).alias("copy"), F.array().cast("array<binary>").alias("missing"), F.array().cast("array<binary>").alias("lent"))
+    each = named.select("recipe", "k", F.explode(F.array_distinct("digests")).alias("digest"))
+    shared = each.groupBy("digest").agg(F.min(F.struct("k", "recipe"))["recipe"].alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = each.join(shared, "digest")
+    parted = met.groupBy("recipe", "k").agg(*(F.collect_set(F.when(test, F.col("digest"))).alias(name) for name, test in (("missing", F.col("recipe") != F.col("owner")), ("lent", F.col("recipe") == F.col("owner")))))
+    return written(copies.unionByName(parted.select("k.id", "k.h", "recipe", F.lit(False).alias("copy"), "missing", "lent")), "owners")
 
-    def __init__(self, rows: list):
-        parts = sorted((int.from_bytes(r["digest"][:8], "big"), int.from_bytes(r["digest"][8:16], "big"), r["owner"]) for r in rows)
-        self.high, self.low = (np.array([p[k] for p in parts], np.uint64) for k in (0, 1))
-        self.owner = np.array([p[2] for p in parts], np.int64)
 
-    def of(self, digest: bytes) -> int | None:
-        high, low = int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:16], "big")
-        k = int(np.searchsorted(self.high, np.uint64(high)))
-        while k < len(self.high) and self.high[k] == high:
-            if self.low[k] == low:
-                return int(self.owner[k])
-            k += 1
-        return None
+def _sent(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, to be sent to every task if they are few."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def stored(docs: DataFrame, chunker: Chunker, owners=None) -> DataFrame:
-    """(digest, several, frame): the chunks that documents own, or all that a task has not sent yet; several: a payload of more than one chunk needs it."""
+def packs(docs: DataFrame, known: DataFrame, chunker: Chunker = CHUNKER) -> DataFrame:
+    """PACK of each recipe, from the document that stores it; known is owners()."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[bytes, bool]] = set()
-        codec, known = zstandard.ZstdCompressor(level=LEVEL), owners.value if owners else None
+        codec = zstandard.ZstdCompressor(level=LEVEL)
+        kinds = [pa.binary(), *[pa.list_(pa.binary())] * 4]
         for b in batches:
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = _cut(pad((t or "").encode()), chunker)
-                for p in parts:
-                    x = hashlib.sha256(p).digest()
-                    owner = known.of(x) if known else None
-                    if owner is not None and owner != (_ID if d is None else d) or (x, len(parts) > 1) in seen:
-                        continue
-                    if len(seen) < SEEN and (owner is not None or not known):
-                        seen.add((x, len(parts) > 1))
-                    # Whoever owns a shared chunk cannot know whether others need it among several.
-                    rows.append((x, len(parts) > 1 or owner is not None, codec.compress(p)))
-            x, s, f = zip(*rows, strict=True) if rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(s, pa.bool_()), pa.array(f, pa.binary())], ["digest", "several", "frame"])
-
-    return _rows(docs).mapInArrow(run, "digest binary, several boolean, frame binary")
-
-
-def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of digest the first of each."""
-    last = None
-    for b in batches:
-        keep = []
-        for k, x in enumerate(b.column(0).to_pylist()):
-            if x != last:
-                keep.append(k)
-            last = x
-        yield b.take(pa.array(keep, pa.int64()))
-
-
-def store(docs: DataFrame, chunker: Chunker = CHUNKER, most_shared: int = SHARED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, recipes, chunks) as tables: (doc_id, n_bytes, recipe); (recipe, place, digest); (digest, several, frame)."""
-    spark = docs.sparkSession
-    prepare(spark)
+            for text, recipe, copy, missing, lent in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parts, digests, own = _cut(text, chunker)
+                if recipe is None or recipe != own:  # nothing is known of it: it stores all its chunks
+                    copy, missing, lent = False, [], []
+                if not copy:
+                    stored = dict(zip(digests, parts))
+                    for x in missing:
+                        del stored[x]
+                    rows.append((own, digests, [codec.compress(p) for p in stored.values()], missing, lent))
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in PACK.split(", ")])
+
+    rows = _keyed(docs).join(known, ["id", "h"], "left")
+    return rows.select("text", "recipe", "copy", "missing", "lent").mapInArrow(run, PACK)
+
+
+def store(docs: DataFrame, chunker: Chunker = CHUNKER, most_sent: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(documents, packs) as tables: (doc_id, n_bytes, recipe) and PACK."""
+    prepare(docs.sparkSession)
     lists = written(listed(docs, chunker), "media-lists")
-    each = lists.select(F.coalesce("doc_id", F.lit(_ID)).alias("doc_id"), F.explode(F.array_distinct("digests")).alias("digest"))
-    shared = each.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner").limit(most_shared + 1).collect()
-    if len(shared) <= most_shared:
-        chunks = stored(docs, chunker, spark.sparkContext.broadcast(Owners(shared)))
-    else:
-        rows = stored(docs, chunker).repartition("digest").sortWithinPartitions("digest", F.desc("several"))
-        chunks = rows.mapInArrow(_once, "digest binary, several boolean, frame binary")
-    chunks = written(chunks, "media-chunks")
-    several = lists.where("size(digests) > 1").groupBy("recipe").agg(F.first("digests").alias("digests"))
-    return lists.drop("digests"), several.select("recipe", F.posexplode("digests").alias("place", "digest")), chunks
-
-
-def read(documents: DataFrame, recipes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """documents with FIELDS of their payloads, from the stored chunks."""
-    single = chunks.mapInArrow(_features_alone, _schema())
-    parts = recipes.join(chunks.where("several").drop("several"), "digest", "left")
-    ordered = parts.select("recipe", "place", "digest", "frame").repartition("recipe").sortWithinPartitions("recipe", "place")
-    joined = ordered.mapInArrow(_features_joined, _schema())
-    # Rows that repeat an id may both have stored their chunk.
-    found = written(single.unionByName(joined).dropDuplicates(["recipe"]), "features")
-    return documents.join(found, "recipe", "left").drop("recipe")
+    known = _sent(owners(lists), most_sent)
+    return lists.select("doc_id", "n_bytes", "recipe"), written(packs(docs, known, chunker), "media-packs")
+
+
+def read(documents: DataFrame, stored: DataFrame) -> DataFrame:
+    """documents with FIELDS of their payloads, from the stored packs."""
+    whole = stored.where("size(missing) = 0").select("recipe", "digests", "missing", "frames", F.lit(None).cast("array<struct<digest:binary,frame:binary>>").alias("others"))
+    parted = stored.where("size(missing) > 0").dropDuplicates(["recipe"])
+    lent = stored.where("size(lent) > 0").mapInArrow(_lent, "digest binary, frame binary").dropDuplicates(["digest"])
+    needed = parted.select("recipe", F.explode("missing").alias("digest")).join(lent, "digest")
+    others = needed.groupBy("recipe").agg(F.collect_list(F.struct("digest", "frame")).alias("others"))
+    joined = parted.join(others, "recipe", "left").select(whole.columns)
+    found = written(whole.mapInArrow(_read, _schema()).unionByName(joined.mapInArrow(_read, _schema())).dropDuplicates(["recipe"]), "features")
+    out = documents.join(found, "recipe", "left")
+    absent = F.raise_error(F.concat(F.lit("recipe "), F.hex("recipe"), F.lit(" is not in the store")))
+    return out.withColumn("payload_sha256", F.when(F.col("payload_sha256").isNull(), absent).otherwise(F.col("payload_sha256"))).drop("recipe")
+
+
+def _own(digests: list[bytes], missing: list[bytes]) -> list[bytes]:
+    """The digests of a pack's frames."""
+    lacks = set(missing)
+    return [x for x in dict.fromkeys(digests) if x not in lacks]
+
+
+def _lent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for _, digests, frames, missing, lent in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            asked = set(lent)
+            rows += [(x, f) for x, f in zip(_own(digests, missing), frames) if x in asked]
+        x, f = zip(*rows, strict=True) if rows else ((),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(f, pa.binary())], ["digest", "frame"])
+
+
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads from their packs; holds one at a time."""
+    codec = zstandard.ZstdDecompressor()
+    for b in batches:
+        rows = []
+        for recipe, digests, missing, frames, others in zip(*b.columns, strict=True):
+            recipe, digests = recipe.as_py(), digests.as_py()
+            if _recipe(digests) != recipe:
+                raise ValueError(f"recipe {recipe.hex()} is damaged")
+            known = dict(zip(_own(digests, missing.as_py()), frames.as_py()))
+            known |= {o["digest"]: o["frame"] for o in others.as_py() or ()}
+            listed = [known.get(x) for x in digests]
+            rows.append((recipe, *features([_open(codec, x, f) for x, f in zip(digests, listed)], listed)))
+        yield _batch(rows)
 
 
 def _schema() -> str:
@@ -181,42 +201,6 @@ def _open(codec: zstandard.ZstdDecompressor, digest: bytes, frame: bytes | None)
     return data
 
 
-def _features_alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each stored chunk as a payload of its own; those that none is match no document."""
-    codec = zstandard.ZstdDecompressor()
-    for b in batches:
-        yield _batch([(x, *features([_open(codec, x, f)], [f])) for x, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)])
-
-
-def _features_joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payloads from their chunks, which come in order; holds one payload at a time."""
-    codec = zstandard.ZstdDecompressor()
-    recipe, place, parts, frames, digests = None, None, [], [], []
-
-    def done() -> tuple:
-        if hashlib.sha256(b"".join(digests)).digest()[:31] != recipe:
-            raise ValueError(f"recipe {recipe.hex()} lacks a chunk")
-        return (recipe, *features(parts, frames))
-
-    for b in batches:
-        rows = []
-        for r, k, x, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r != recipe:
-                if recipe is not None:
-                    rows.append(done())
-                recipe, place, parts, frames, digests = r, None, [], [], []
-            if k == place:
-                continue
-            place = k
-            parts.append(_open(codec, x, f))
-            frames.append(f)
-            digests.append(x)
-        if rows:
-            yield _batch(rows)
-    if recipe is not None:
-        yield _batch([done()])
-
-
 def features(parts: list[bytes], frames: list[bytes]) -> tuple:
     payload, media = b"".join(parts), b"".join(frames)
     samples = np.frombuffer(payload, np.uint8)

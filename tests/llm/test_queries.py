@@ -77,29 +77,41 @@ def test_op2(spark, data):
 
 
 def test_op2_awkward(awkward, empty):
-    found = media.read(*media.store(awkward)).collect()
-    assert len(found) == len(AWKWARD) and all(r["payload_bytes"] % 64 == 0 and r["payload_bytes"] > 0 for r in found)
+    named = awkward.withColumnsRenamed({"lang": "recipe", "score": "missing", "n_words": "digests"})
+    found = media.read(*media.store(named)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"]) for r in found) == sorted((d or 0, len((t or "").encode())) for d, t in AWKWARD)
+    assert all(r["payload_bytes"] % 64 == 0 and r["payload_bytes"] > 0 for r in found)
     assert media.read(*media.store(empty)).count() == 0
 
 
-def test_op2_small_chunks_are_shared_and_damage_is_seen(spark):
+def test_op2_chunks_are_shared_and_damage_is_seen(spark):
     from clearwell.llm.gear import Chunker
 
     text = "".join(sha(str(k)) for k in range(200))
-    docs = spark.createDataFrame([(1, text), (2, "before " + text)], "doc_id long, text string")
+    texts = {1: text, 2: "before " + text, 3: text, 4: text[:9000] * 2, 5: "elsewhere"}
+    docs = spark.createDataFrame([*texts.items(), (5, "elsewhere")], "doc_id long, text string")
     small = Chunker(bits=8, least=64, most=1024)
-    documents, recipes, chunks = media.store(docs, small)
-    by_shuffle = media.store(docs, small, most_shared=0)
-    assert sorted(map(tuple, chunks.select("digest", "frame").collect())) == sorted(map(tuple, by_shuffle[2].select("digest", "frame").collect()))
-    assert sorted(map(tuple, media.read(*by_shuffle).collect())) == sorted(map(tuple, media.read(documents, recipes, chunks).collect()))
-    assert recipes.count() > chunks.count() and chunks.select("digest").distinct().count() == chunks.count()
-    found = got(media.read(documents, recipes, chunks), "doc_id")
-    assert found[2]["payload_sha256"] == hashlib.sha256(media.pad(("before " + text).encode())).hexdigest()
-    broken = chunks.withColumn("frame", media.F.lit(media.zstandard.compress(b"other")))
+    documents, packs = media.store(docs, small)
+    by_shuffle = media.store(docs, small, most_sent=0)
+    assert sorted(map(repr, media.read(*by_shuffle).collect())) == sorted(map(repr, media.read(documents, packs).collect()))
+    found = got(media.read(documents, packs), "doc_id")
+    for d, t in texts.items():
+        assert found[d]["payload_sha256"] == hashlib.sha256(media.pad(t.encode())).hexdigest()
+    # Each chunk is stored once, and the chunks of plain cutting are all there.
+    stored = [x for p in packs.dropDuplicates(["recipe"]).collect() for x in media._own(p["digests"], p["missing"])]
+    plain = set()
+    for t in texts.values():
+        data = media.pad(t.encode())
+        ends = small.ends(data)
+        plain |= {hashlib.sha256(data[a:b]).digest() for a, b in zip([0, *ends], ends)}
+    assert len(stored) == len(set(stored)) and {bytes(x) for x in stored} == plain
+    frames = media.F.transform("frames", lambda f: media.F.lit(media.zstandard.compress(b"other")))
     with pytest.raises(Exception, match="damaged"):
-        media.read(documents, recipes, broken).collect()
+        media.read(documents, packs.withColumn("frames", frames)).collect()
     with pytest.raises(Exception, match="not in the store"):
-        media.read(documents, recipes, chunks.limit(0)).collect()
+        media.read(documents, packs.limit(0)).collect()
+    with pytest.raises(Exception, match="not in the store"):
+        media.read(documents, packs.withColumn("lent", media.F.array().cast("array<binary>"))).collect()
 
 
 GEAR = [int.from_bytes(hashlib.sha256(b"gear %d" % (k // 8)).digest()[4 * (k % 8) : 4 * (k % 8) + 4], "little") for k in range(256)]

@@ -48,5 +48,6 @@ def python_class(*groups: list[tuple[int, int]], negate: bool = False) -> str:
 
 INVISIBLE = regex_class(FORMAT_RANGES, SELECTOR_RANGES, BLANK_RANGES)
 INTRODUCER = regex_class(INTRODUCER_RANGES)
+TRACKED = regex_class(INTRODUCER_RANGES, FORMAT_RANGES, SELECTOR_RANGES, BLANK_RANGES)
 #: Characters that may be content in the right place: joiners, selectors, tags, gated blanks.
 CONTENT_CANDIDATE = regex_class([(0x200C, 0x200D)], SELECTOR_RANGES, [(0xE0000, 0xE007F), (0x115F, 0x1160), (0x2800, 0x2800), (0x3164, 0x3164), (0xFFA0, 0xFFA0)])

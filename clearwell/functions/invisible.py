@@ -12,7 +12,11 @@ or goes as one.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 
 import regex
 from pyspark.sql import Column
@@ -38,17 +42,19 @@ _CLUSTER = regex.compile(r"\X")
 # ---- native ----
 
 
+#: A byte-order mark that leads the text is no finding.
+_NOT_BOM = r"(?!\A\x{FEFF})"
+
+
 def strip(c: Column) -> Column:
     """Every tracked character goes, but a leading byte-order mark."""
-    body = F.regexp_replace(c, F.lit(INVISIBLE), F.lit(""))
-    return F.when(c.startswith(BOM), F.concat(F.lit(BOM), body)).otherwise(body)
+    return F.regexp_replace(c, F.lit(_NOT_BOM + INVISIBLE), F.lit(""))
 
 
 def found(c: Column) -> Column:
     """Categories that c holds beyond a leading byte-order mark, in order."""
-    body = F.when(c.startswith(BOM), F.substring(c, 2, 2_000_000_000)).otherwise(c)
     tests = ((FORMAT, FORMAT_RANGES), (SELECTORS, SELECTOR_RANGES), (BLANKS, BLANK_RANGES))
-    return F.array_compact(F.array(*(F.when(body.rlike(regex_class(r)), code) for code, r in tests)))
+    return F.array_compact(F.array(*(F.when(c.rlike((_NOT_BOM if code == FORMAT else "") + regex_class(r)), code) for code, r in tests)))
 
 
 def count(c: Column) -> Column:
@@ -92,7 +98,8 @@ _hangul = _memo(r"(?![\u115f\u1160\u3164\uffa0])\p{Script=Hangul}")
 _variant_base = _memo(r"[#*0-9\u1000-\u109f\u2205\u2229\u222a\u2268\u2269\u2272\u2273\u228a\u228b\u2293-\u2295\u2297\u229c\u22da\u22db\u2a3c\u2a3d\u2a9d\u2a9e\u2aac\u2aad\u2acb\u2acc\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\ua840-\ua877\u1820-\u18aa\p{Unified_Ideograph}\U00010AC0-\U00010AFF]")
 
 JOINER, EMOJI_SELECTOR, TAG, VARIANT, IDEOGRAPHIC, BLANK = "joiner", "emoji-selector", "tag", "variant", "ideographic", "blank"
-_RUNS = {JOINER: 0, VARIANT: 1, IDEOGRAPHIC: 1}
+#: What counts towards which limit of a stretch.
+_LIMIT_OF = {JOINER: JOINER_RUN, VARIANT: SELECTOR_RUN, IDEOGRAPHIC: SELECTOR_RUN}
 
 
 def _is(ch: str, code: str | None = None) -> bool:
@@ -165,64 +172,48 @@ def strip_text(text: str, original: str | None = None) -> tuple[str, list[str]]:
     return (BOM + body if lead else body), [c for c in (FORMAT, SELECTORS, BLANKS) if c in gone]
 
 
+def _clusters(body: str, places: list[int]) -> Iterator[list[int]]:
+    """The places, by grapheme cluster."""
+    bounds = [m.end() for m in _CLUSTER.finditer(body)] if places else []
+    for _, group in itertools.groupby(places, key=lambda k: bisect_right(bounds, k)):
+        yield list(group)
+
+
+def _stretches(places: Iterable[int]) -> dict[int, int]:
+    """A number for each invisible place; two visible characters in a row end a stretch."""
+    out, last, n = {}, -3, 0
+    for k in places:
+        n += k - last > 2
+        out[k] = n
+        last = k
+    return out
+
+
 def _keep_content(body: str) -> tuple[str, set[str]]:
     kind = kinds(body)
-    many = sum(v is None for v in kind.values()) >= SCATTERED
-    room = min(KEEP_CEILING, max(KEEP_FLOOR, math.ceil((len(body) - len(kind)) / VISIBLE_PER_KEPT)))
-    out: list[str] = []
-    gone: set[str] = set()
-    total, runs, after_visible = 0, [0, 0], False
-    at = 0
-    # Only clusters with content need their bounds; everything between is settled place by place.
-    wanted = [] if many else [k for k, v in kind.items() if v not in (None, BLANK)]
-
-    def settle(start: int, end: int, fits: bool) -> None:
-        nonlocal total, after_visible
-        for k in range(start, end):
-            if k not in kind:
-                if after_visible:
-                    runs[:] = 0, 0
-                after_visible = True
-                out.append(body[k])
-                continue
-            v = kind[k]
-            after_visible = False
-            if v is not None and (not many if v == BLANK else fits):
-                out.append(body[k])
-                if v != BLANK:
-                    total += 1
-                if v in _RUNS:
-                    runs[_RUNS[v]] += 1
-            else:
-                gone.add(CLASS_OF[ord(body[k])])
-
-    for m in _CLUSTER.finditer(body) if wanted else ():
-        while wanted and wanted[0] < m.start():
-            wanted.pop(0)
-        if not wanted:
-            break
-        if wanted[0] >= m.end():
-            continue
-        start, end = m.span()
-        settle(at, start, False)
-        need = [kind[k] for k in range(start, end) if kind.get(k) not in (None, BLANK)]
-        now, seen = list(runs), after_visible
-        for k in range(start, end):
-            if kind.get(k) is not None:
-                break
-            if k not in kind and seen:
-                now = [0, 0]
-            seen = k not in kind
-        more = [sum(_RUNS.get(v) == r for v in need) for r in (0, 1)]
-        settle(start, end, total + len(need) <= room and now[0] + more[0] <= JOINER_RUN and now[1] + more[1] <= SELECTOR_RUN)
-        at = end
-    settle(at, len(body), False)
-    return "".join(out), gone
+    kept: set[int] = set()
+    if payload_of(kind) < SCATTERED:
+        room = min(KEEP_CEILING, max(KEEP_FLOOR, math.ceil((len(body) - len(kind)) / VISIBLE_PER_KEPT)))
+        stretch = _stretches(kind)
+        used: Counter = Counter()
+        for group in _clusters(body, [k for k, v in kind.items() if v not in (None, BLANK)]):
+            cost = {of: [k for k in group if kind[k] in of] for of in ((JOINER,), (VARIANT, IDEOGRAPHIC))}
+            if len(kept) + len(group) <= room and all(used[stretch[group[0]], of] + len(ks) <= _LIMIT_OF[of[0]] for of, ks in cost.items()):
+                kept.update(group)
+                used.update((stretch[k], of) for of, ks in cost.items() for k in ks)
+        kept |= {k for k, v in kind.items() if v == BLANK}
+    gone = [k for k in kind if k not in kept]
+    ends = [-1, *gone, len(body)]
+    return "".join(body[x + 1 : y] for x, y in zip(ends, ends[1:])), {CLASS_OF[ord(body[k])] for k in gone}
+
+
+def payload_of(kind: Mapping[int, str | None]) -> int:
+    return sum(v is None for v in kind.values())
 
 
 def payload_count(text: str) -> int:
     """Invisible characters that are no content."""
-    return sum(v is None for v in kinds(text).values())
+    return payload_of(kinds(text))
 
 
 def effective_count(text: str) -> int:

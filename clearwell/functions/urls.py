@@ -8,7 +8,7 @@ import unicodedata
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
-from .gates import SECRET_HINTS
+from .secrets import names_credential
 
 # --- fixed values: limits and names ---
 LONG_PART, LONG_DATA, LONG_SEGMENT = 200, 4096, 128
@@ -26,7 +26,6 @@ PARAMETER, CREDENTIAL, USERINFO = "suspicious query parameter", "credential-shap
 QUERY, FRAGMENT, PATH = "unusually long query string", "unusually long fragment", "encoded data blob in path segment"
 SENTINEL = "URL scan failed"
 
-_HINTS = [re.compile(p) for p in SECRET_HINTS]
 _SPECIAL = ("http", "https", "ws", "wss", "ftp", "file")
 
 
@@ -104,7 +103,7 @@ def parameter_reason(name: str, value: str) -> str | None:
     if _benign(name):
         return None
     for part in filter(None, (name, value)):
-        if any(re.search(r"\d", run) and any(h.search(run) for h in _HINTS) for run in re.findall(r"[A-Za-z0-9_]{20,}", part)):
+        if any(re.search(r"\d", run) and names_credential(run) for run in re.findall(r"[A-Za-z0-9_]{20,}", part)):
             return CREDENTIAL
         if is_blob(part) or is_blob(_decoded(part)):
             return PARAMETER

@@ -1,8 +1,8 @@
 """Layer 1: terminal escapes and invisible characters, to a fixed point.
 
 The native form deletes every tracked character and never leaves the JVM.  The
-exact form keeps those that are content; only rows that hold a candidate for
-content, or a mix that native rounds do not settle, go through Python.
+exact form keeps those that are content; rows without a tracked character go
+through Python as nulls.
 """
 
 from __future__ import annotations
@@ -15,22 +15,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ansi, invisible
-from ..functions.characters import ANSI, LABELS, LONG_RUN, SURROGATES
+from ..functions.characters import ANSI, LABELS, LONG_RUN, SURROGATES, TRACKED
 
 PASSES = 4
 INERT = "Inert ANSI stripped (display-only colour and/or a stray escape byte that formed no control sequence); pipe through cat -v to inspect raw escapes."
 
 
+def touched(c: Column) -> Column:
+    """Whether c has any tracked character; one test of one class."""
+    return c.rlike(TRACKED)
+
+
 def native(c: Column) -> Column:
-    """c without escapes and invisible characters; two rounds, then a sweep."""
+    """c without escapes and invisible characters; two rounds, then a sweep.  Each step names its input once."""
+    out = c
     for _ in range(2):
-        c = invisible.strip(ansi.strip(c))
-    return ansi.sweep(c)
+        out = invisible.strip(ansi.strip(out))
+    return F.when(touched(c), ansi.sweep(out)).otherwise(c)
 
 
 def native_found(c: Column) -> Column:
     """Categories that native() removes from c, invisible ones first."""
-    return F.concat(invisible.found(ansi.strip(c)), F.when(ansi.has_introducer(c), F.array(F.lit(ANSI))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    escapes = F.when(ansi.has_introducer(c), F.array(F.lit(ANSI))).otherwise(none)
+    seen = F.flatten(F.transform(F.array(ansi.strip(c)), invisible.found))  # the stripped text is bound once
+    return F.when(touched(c), F.concat(seen, escapes)).otherwise(none)
 
 
 def clean_text(text: str) -> tuple[str, str, list[str], list[str]]:
@@ -68,16 +77,15 @@ def clean_units(units: list[int]) -> tuple[list[int], list[str]]:
 @F.pandas_udf(T.StructType([T.StructField("cleaned", T.StringType()), T.StructField("de_ansi", T.StringType()), T.StructField("found", T.ArrayType(T.StringType())), T.StructField("ansi_kinds", T.ArrayType(T.StringType()))]))
 def _exact(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.DataFrame([clean_text(t or "") for t in texts], columns=["cleaned", "de_ansi", "found", "ansi_kinds"])
+        yield pd.DataFrame([(None, None, [], []) if t is None else clean_text(t) for t in texts], columns=["cleaned", "de_ansi", "found", "ansi_kinds"])
 
 
 def exact(df: DataFrame, text: str = "text", into: str = "l1") -> DataFrame:
-    """df with a struct (cleaned, de_ansi, found, ansi_kinds); rows without any tracked character never reach Python."""
+    """df with a struct (cleaned, de_ansi, found, ansi_kinds).  One scan: rows without any tracked character go to Python as null."""
     c = F.coalesce(F.col(text), F.lit(""))
-    touched = ansi.has_introducer(c) | invisible.has_any(c)
-    none = F.array().cast("array<string>")
-    clean = df.where(~touched).withColumn(into, F.struct(c.alias("cleaned"), c.alias("de_ansi"), none.alias("found"), none.alias("ansi_kinds")))
-    return clean.unionByName(df.where(touched).withColumn(into, _exact(c)))
+    out = df.withColumn(into, _exact(F.when(touched(c), c)))
+    whole = F.struct(*(F.coalesce(F.col(into)[k], c).alias(k) for k in ("cleaned", "de_ansi")), *(F.col(into)[k].alias(k) for k in ("found", "ansi_kinds")))
+    return out.withColumn(into, whole)
 
 
 def is_inert(kinds: list[str]) -> bool:

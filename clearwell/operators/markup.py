@@ -28,17 +28,19 @@ def _sanitize(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         rows = []
         for t in texts:
-            c = html.sanitize(t or "")
+            if t is None:
+                rows.append((None, [], 0, 0, {}, 0))
+                continue
+            c = html.sanitize(t)
             rows.append((c.text, [p._asdict() for p in c.pairs], c.comments, c.hidden, c.tags, c.data_sources))
         yield pd.DataFrame(rows, columns=HTML.names)
 
 
 def sanitize_html(df: DataFrame, text: str = "text", into: str = "l2") -> DataFrame:
-    """df with a struct of HTML; rows without a tag never reach Python."""
+    """df with a struct of HTML.  One scan: rows without a tag go to Python as null."""
     c = F.coalesce(F.col(text), F.lit(""))
-    gate = gates.has_tag(c)
-    empty = F.struct(c.alias("cleaned"), F.array().cast("array<struct<placeholder:string,original:string,start:int>>").alias("pairs"), F.lit(0).alias("comments"), F.lit(0).alias("hidden"), F.create_map().cast("map<string,int>").alias("tags"), F.lit(0).alias("data_sources"))
-    return df.where(~gate).withColumn(into, empty).unionByName(df.where(gate).withColumn(into, _sanitize(c)))
+    out = df.withColumn(into, _sanitize(F.when(gates.has_tag(c), c)))
+    return out.withColumn(into, F.struct(F.coalesce(F.col(into)["cleaned"], c).alias("cleaned"), *(F.col(into)[k].alias(k) for k in HTML.names[1:])))
 
 
 def _exfil_rows(text: str | None) -> list[dict]:
@@ -66,6 +68,9 @@ def _report(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         rows = []
         for t in texts:
+            if t is None:
+                rows.append(([], []))
+                continue
             try:
                 rows.append((_exfil_rows(t), _host_rows(t)))
             except Exception:  # a scan that fails must not read as one that found nothing
@@ -74,11 +79,9 @@ def _report(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def report_urls(df: DataFrame, text: str = "text", into: str = "l3") -> DataFrame:
-    """df with a struct (threats, hosts); rows without markup or a URL never reach Python."""
-    c = F.coalesce(F.col(text), F.lit(""))
-    gate = gates.needs_url_scan(c)
-    empty = F.struct(F.array().cast(T.ArrayType(THREAT)).alias("threats"), F.array().cast(T.ArrayType(HOST)).alias("hosts"))
-    return df.where(~gate).withColumn(into, empty).unionByName(df.where(gate).withColumn(into, _report(c)))
+    """df with a struct (threats, hosts).  One scan: rows without markup or a URL go to Python as null."""
+    c = F.col(text)
+    return df.withColumn(into, _report(F.when(gates.needs_url_scan(c), c)))
 
 
 @F.pandas_udf(T.ArrayType(URL))

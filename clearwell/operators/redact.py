@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import gates, secrets
+from ..functions import secrets
 from ..functions.spans import unsplice_column
 
 PAIR = T.StructType([T.StructField("placeholder", T.StringType()), T.StructField("original", T.StringType()), T.StructField("start", T.IntegerType())])
@@ -27,8 +27,11 @@ def redactor(high_confidence: bool = False, known: Mapping[str, str] | None = No
         for texts, local in batches:
             rows = []
             for t, trusted in zip(texts, local, strict=True):
+                if t is None:
+                    rows.append((None, [], [], None))
+                    continue
                 try:
-                    view, found, pairs = secrets.redact(t or "", bool(trusted), high_confidence, known)
+                    view, found, pairs = secrets.redact(t, bool(trusted), high_confidence, known)
                     rows.append((view, found, [p._asdict() for p in pairs], None))
                 except Exception as e:  # the row is withheld, not the job stopped
                     rows.append((None, [], [], type(e).__name__))
@@ -38,17 +41,12 @@ def redactor(high_confidence: bool = False, known: Mapping[str, str] | None = No
 
 
 def redact(df: DataFrame, text: str = "text", local: Column | bool = True, into: str = "l4", high_confidence: bool = False, known: Mapping[str, str] | None = None) -> DataFrame:
-    """df with a struct of RESULT.  Rows without a hint of a secret never reach Python."""
+    """df with a struct of RESULT.  One scan: rows without a hint of a secret go to Python as null."""
     c = F.coalesce(F.col(text), F.lit(""))
-    hint = gates.secret_hint(c)
-    for d in secrets.DETECTORS:
-        if d.crosses_lines or d.name in ("npm Token", "Basic Auth Credentials"):
-            hint = hint | F.lower(F.regexp_replace(c, "[\r\n]", "")).rlike("|".join(x.replace(".", r"\.") for x in d.literals))
-    for v in (known or {}).values():
-        hint = hint | F.regexp_replace(c, "[^\x21-\x7e]", "").contains(v)
     trusted = local if isinstance(local, Column) else F.lit(local)
-    empty = F.struct(c.alias("view"), F.array().cast("array<string>").alias("found"), F.array().cast("array<struct<placeholder:string,original:string,start:int>>").alias("pairs"), F.lit(None).cast("string").alias("error"))
-    return df.where(~hint).withColumn(into, empty).unionByName(df.where(hint).withColumn(into, redactor(high_confidence, known)(c, trusted)))
+    out = secrets.with_hint(df, c, "__hint", known).withColumn(into, redactor(high_confidence, known)(F.when(F.col("__hint"), c), trusted))
+    view = F.when(F.col("__hint"), F.col(into)["view"]).otherwise(c)
+    return out.withColumn(into, F.struct(view.alias("view"), *(F.col(into)[k].alias(k) for k in RESULT.names[1:]))).drop("__hint")
 
 
 def unredact(df: DataFrame, view: str, pairs: str, into: str) -> DataFrame:
@@ -62,14 +60,15 @@ def previews(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: secrets.previews(t or ""))
+            yield texts.map(lambda t: [] if t is None else secrets.previews(t))
 
-    hinted = df.where(gates.secret_hint(F.col(text)))
+    hinted = secrets.with_hint(df.select(key, text), F.col(text), "__hint").where("__hint")
     return hinted.select(key, F.explode(run(F.col(text))).alias("preview"))
 
 
 def scan_distinct_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, line_no, hits): each distinct line is scanned once, then joined back; lines repeat across documents."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
+    lines = lines.where(secrets.names_field(F.col("line")))  # the pattern's literals first: few lines are shuffled
     hit = lines.select("line").distinct().withColumn("hits", secrets.count_fields(F.col("line"))).where("hits > 0")
     return lines.join(hit, "line").select(key, "line_no", "hits")

@@ -42,25 +42,39 @@ def span_store(pairs: DataFrame) -> DataFrame:
 def restore_from_store(texts: DataFrame, store: DataFrame, key: str, text: str = "text") -> DataFrame:
     """texts with restored, or null and denied = true where a placeholder's key is not in the store.
 
-    Keys are exploded, found by join and folded back in order of place.
+    What a text becomes depends on the text alone, so each distinct one is
+    restored once and joined back by its hash: every row stays, whatever its
+    ``key`` is.  Keys are exploded, found by join and folded back in order.
     """
     pattern = r"(\[(?:HTML comment|hidden HTML) removed #[0-9a-f]{12}\])"
-    pieces = F.split(F.col(text), pattern)
     marks = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
-    rows = texts.select(key, F.posexplode_outer(marks).alias("n", "mark"))
+    named = texts.withColumn("__id", F.sha2(F.coalesce(text, F.lit("")), 256))
+    rows = named.where(F.col(text).rlike(pattern)).dropDuplicates(["__id"]).select("__id", F.posexplode(marks).alias("n", "mark"))
     found = rows.withColumn("key", F.regexp_extract("mark", r"#([0-9a-f]{12})\]", 1)).join(store, "key", "left")
-    folded = found.groupBy(key).agg(F.bool_and(F.col("mark").isNull() | F.col("original").isNotNull()).alias("__ok"), F.sort_array(F.collect_list(F.when(F.col("mark").isNotNull(), F.struct("n", "original")))).alias("__o"))
-    out = texts.join(folded, key).withColumn("__p", pieces)
+    folded = found.groupBy("__id").agg(F.bool_and(F.col("original").isNotNull()).alias("__ok"), F.sort_array(F.collect_list(F.struct("n", "original"))).alias("__o"))
+    out = named.join(folded, "__id", "left").withColumn("__p", F.split(F.col(text), pattern)).withColumn("__ok", F.coalesce("__ok", F.lit(True)))
     whole = F.expr("aggregate(sequence(1, size(__p)), '', (s, i) -> concat(s, __p[i - 1], CASE WHEN i <= size(__o) THEN __o[i - 1].original ELSE '' END))")
-    return out.withColumn("restored", F.when(F.col("__ok"), whole)).withColumn("denied", ~F.col("__ok")).drop("__ok", "__o", "__p")
+    restored = F.when(F.col("__o").isNull(), F.col(text)).when(F.col("__ok"), whole)
+    return out.withColumn("restored", restored).withColumn("denied", ~F.col("__ok")).drop("__id", "__ok", "__o", "__p")
 
 
 def scope_fields(calls: DataFrame, scopes: DataFrame) -> DataFrame:
-    """calls (tool, field) with kind: covered or exempt by exact name, else by prefix, else undeclared."""
-    exact = scopes.where("NOT tool LIKE '%*'").select("tool", "field", F.col("kind").alias("__exact"))
-    prefix = scopes.where("tool LIKE '%*'").select(F.expr("substring(tool, 1, length(tool) - 1)").alias("__prefix"), F.col("field").alias("__field"), F.col("kind").alias("__prefixed"))
-    out = calls.join(F.broadcast(exact), ["tool", "field"], "left").join(F.broadcast(prefix), F.col("tool").startswith(F.col("__prefix")) & (F.col("field") == F.col("__field")), "left")
-    return out.withColumn("kind", F.coalesce("__exact", "__prefixed", F.lit("undeclared"))).drop("__exact", "__prefix", "__field", "__prefixed")
+    """calls (tool, field) with kind: covered or exempt by exact name, else by the longest prefix, else undeclared.
+
+    Each distinct call is looked up by equi-joins, of the name and of its
+    beginnings of the lengths that scopes have; every row of calls stays one row.
+    """
+    prefix = F.col("tool").endswith("*")
+    rules = scopes.select(F.when(prefix, F.expr("substring(tool, 1, length(tool) - 1)")).otherwise(F.col("tool")).alias("__name"), F.col("field").alias("__field"), "kind", (~prefix).alias("__exact"))
+    rules = rules.groupBy("__name", "__field", "__exact").agg(F.min("kind").alias("__kind"))
+    lengths = [r[0] for r in rules.where("NOT __exact").select(F.length("__name")).distinct().collect()]  # as many as prefixes have
+    asked = calls.select("tool", "field").distinct()
+    names = F.array(F.struct(F.col("tool").alias("__name"), F.lit(True).alias("__exact")), *(F.struct(F.expr(f"substring(tool, 1, {int(n)})").alias("__name"), F.lit(False).alias("__exact")) for n in lengths))
+    tried = asked.select("tool", "field", F.explode(F.array_distinct(names)).alias("t")).select("tool", "field", "t.*", F.col("field").alias("__field"))
+    best = tried.join(rules, ["__name", "__field", "__exact"]).groupBy("tool", "field").agg(F.max(F.struct("__exact", F.length("__name").alias("n"), "__kind"))["__kind"].alias("__kind"))
+    best = best.select(F.col("tool").alias("__tool"), F.col("field").alias("__f"), "__kind")
+    out = calls.join(best, (F.col("tool") == F.col("__tool")) & (F.col("field") == F.col("__f")), "left")
+    return out.withColumn("kind", F.coalesce("__kind", F.lit("undeclared"))).drop("__tool", "__f", "__kind")
 
 
 def exposed(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
@@ -75,5 +89,5 @@ def scan_account(targets: DataFrame, scanned: DataFrame, skipped: DataFrame) ->
 
 
 def findings_cube(findings: DataFrame, *by: str) -> DataFrame:
-    """Roll-up of findings over every set of columns, with documents approximately distinct."""
+    """Roll-up of findings over every set of columns, with the number of documents, counted exactly."""
     return findings.cube(*by).agg(F.count("*").alias("n_findings"), F.countDistinct("doc_id").alias("n_docs"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ansi, gates, instructions, invisible, spans, urls
+from .layer1 import touched
 
 S, I = T.StringType(), T.IntegerType()  # noqa: E741
 TOKEN = T.StructType([T.StructField("start", I), T.StructField("end", I), T.StructField("kind", S)])
@@ -43,33 +44,29 @@ def scan_instructions(df: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def prompt_verdicts(df: DataFrame, text: str = "text", into: str = "verdict") -> DataFrame:
-    """df with a struct (action, reason): pass, note or block.  Clean prompts never reach Python."""
+    """df with a struct (action, reason): pass, note or block; clean, empty and null prompts pass.  One scan: clean prompts go to Python as null."""
 
     @F.pandas_udf(VERDICT)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([instructions.classify_prompt(t or "") for t in texts], columns=VERDICT.names)
+            yield pd.DataFrame([("pass", None) if t is None else instructions.classify_prompt(t) for t in texts], columns=VERDICT.names)
 
-    c = F.coalesce(F.col(text), F.lit(""))
-    touched = ansi.has_introducer(c) | invisible.has_any(c)
-    clean = df.where(~touched).withColumn(into, F.struct(F.lit("pass").alias("action"), F.lit(None).cast("string").alias("reason")))
-    return clean.unionByName(df.where(touched).withColumn(into, judge(c)))
+    c = F.col(text)
+    return df.withColumn(into, judge(F.when(touched(c), c)))
 
 
 def fold(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with folded, its look-alike glyphs as ASCII, and folds; ASCII texts never reach Python."""
+    """df with folded, its look-alike glyphs as ASCII, and folds; ASCII texts go to Python as null."""
 
     @F.pandas_udf(T.StructType([T.StructField("folded", S), T.StructField("folds", T.ArrayType(FOLD))]))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [urls.fold_text(t or "") for t in texts]
+            rows = [(None, []) if t is None else urls.fold_text(t) for t in texts]
             yield pd.DataFrame([(t, [dict(zip(FOLD.names, f, strict=True)) for f in fs]) for t, fs in rows], columns=["folded", "folds"])
 
     c = F.coalesce(F.col(text), F.lit(""))
-    foreign = gates.non_ascii(c)
-    plain = df.where(~foreign).withColumns({"folded": c, "folds": F.array().cast(T.ArrayType(FOLD))})
-    done = df.where(foreign).withColumn("__f", run(c)).withColumns({"folded": F.col("__f.folded"), "folds": F.col("__f.folds")}).drop("__f")
-    return plain.unionByName(done)
+    done = df.withColumn("__f", run(F.when(gates.non_ascii(c), c)))
+    return done.withColumns({"folded": F.coalesce("__f.folded", c), "folds": F.col("__f.folds")}).drop("__f")
 
 
 def delete_spans(df: DataFrame, text: str = "text", needles: str = "needles") -> DataFrame:

@@ -6,6 +6,8 @@ put them in first, by the same rule in both languages.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,14 +78,15 @@ def _strip_sql(x: str) -> str:
 # ---- redaction ----
 
 
-@query(f"""SELECT lang, count(*) FILTER (WHERE h > 0) AS docs_hit, CAST(coalesce(sum(h), 0) AS BIGINT) AS n_hits, CAST(coalesce(sum(length(text) - length(v) + 10 * h), 0) AS BIGINT) AS chars_removed
-FROM (SELECT lang, text, len(regexp_extract_all(text, '{_FIELD}')) AS h, regexp_replace(text, '{_FIELD}', '\\1[REDACTED]', 'g') AS v FROM documents WHERE regexp_matches(text, '(?i)token|pass|secret|key|pwd|credential|authorization|bearer|webhook')) GROUP BY lang""")
+@query(f"""SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE h > 0) AS docs_hit, CAST(sum(h) AS BIGINT) AS n_hits, CAST(sum(length(text) - length(v) + 10 * h) AS BIGINT) AS chars_removed
+FROM (SELECT lang, text, len(regexp_extract_all(text, '{_FIELD}')) AS h, regexp_replace(text, '{_FIELD}', '\\1[REDACTED]', 'g') AS v FROM (SELECT lang, coalesce(text, '') AS text FROM documents)) GROUP BY lang""")
 def redact_fields_by_lang(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "text")
-    hinted = docs.where(F.col("text").rlike("(?i)token|pass|secret|key|pwd|credential|authorization|bearer|webhook"))
-    hits = hinted.withColumns({"h": secrets.count_fields(F.col("text")), "v": secrets.redact_fields(F.col("text"))})
+    docs = table(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.withColumn("named", secrets.names_field(F.col("text")))
+    t = F.col("text")
+    hits = named.withColumns({"h": F.when(F.col("named"), secrets.count_fields(t)).otherwise(0), "v": F.when(F.col("named"), secrets.redact_fields(t)).otherwise(t)})
     removed = F.length("text") - F.length("v") + F.length(F.lit("[REDACTED]")) * F.col("h")
-    return hits.groupBy("lang").agg(F.count_if(F.col("h") > 0).alias("docs_hit"), F.sum("h").cast("long").alias("n_hits"), F.sum(removed).cast("long").alias("chars_removed"))
+    return hits.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if(F.col("h") > 0).alias("docs_hit"), F.sum("h").cast("long").alias("n_hits"), F.sum(removed).cast("long").alias("chars_removed"))
 
 
 @query(f"""SELECT doc_id, sha256(regexp_replace(text, '{_FIELD}', '\\1[REDACTED]', 'g')) AS view_sha256, CAST(len(regexp_extract_all(text, '{_FIELD}')) AS INTEGER) AS hits FROM documents WHERE regexp_matches(text, '{_FIELD}')""")
@@ -100,22 +103,25 @@ def redact_exact(spark, sf_dir):
     return hits.select("doc_id", F.size("l4.pairs").cast("long").alias("hits"), F.sha2("l4.view", 256).alias("view_sha256"))
 
 
-@query("SELECT count(*) AS n, count(*) AS n_same FROM documents")
+@query("""SELECT doc_id, sha256(text) AS again_sha256, regexp_matches(text, 'token = "[0-9a-f]{40}"') AS changed FROM documents""")
 def redact_roundtrip(spark, sf_dir):
     out = redact.redact(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = redact.unredact(out.select("text", F.col("l4.view").alias("view"), F.col("l4.pairs").alias("pairs")), "view", "pairs", "again")
-    return out.agg(F.count("*").alias("n"), F.count_if(F.col("again") == F.col("text")).alias("n_same"))
+    out = redact.unredact(out.select("doc_id", "text", F.col("l4.view").alias("view"), F.col("l4.pairs").alias("pairs")), "view", "pairs", "again")
+    return out.select("doc_id", F.sha2("again", 256).alias("again_sha256"), (F.col("view") != F.col("text")).alias("changed"))
 
 
-@query("""SELECT page_id, len(regexp_extract_all(html, 'token = &quot;[0-9a-f]{40}&quot;')) AS hits FROM pages WHERE regexp_matches(html, 'token = &quot;[0-9a-f]{40}&quot;')""")
+@query("""SELECT page_id, len(regexp_extract_all(html, 'token = &quot;[0-9a-f]{40}&quot;')) AS hits, sha256(regexp_replace(html, '(token = &quot;)[0-9a-f]{40}(&quot;)', '\\1[REDACTED]\\2', 'g')) AS view_sha256 FROM pages WHERE regexp_matches(html, 'token = &quot;[0-9a-f]{40}&quot;')""")
 def page_secret_fields(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where(F.col("html").contains("token = &quot;"))
-    hits = F.regexp_count("html", F.lit("token = &quot;[0-9a-f]{40}&quot;"))
-    return pages.select("page_id", hits.cast("long").alias("hits")).where("hits > 0")
+    # The references become characters first, as a reader sees them, and are put back afterwards: lengths differ, so views are compared, not places.
+    pages = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("&quot;"), F.lit('"')).alias("text"), "html")
+    out = redact.redact(pages).where(F.exists("l4.found", lambda f: f == secrets.FIELD_TYPE))
+    values = F.transform("l4.pairs", lambda p: p["original"])
+    view = F.aggregate(values, F.col("html"), lambda s, v: F.replace(s, v, F.lit("[REDACTED]")))
+    return out.select("page_id", F.size("l4.pairs").cast("long").alias("hits"), F.sha2(view, 256).alias("view_sha256"))
 
 
 @query("""SELECT DISTINCT doc_id, left(trim(regexp_replace(line, '(token = ")[0-9a-f]{40}(")', '\\1********\\2', 'g')), 88) AS preview FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-WHERE regexp_matches(line, 'token = "[0-9a-f]{40}"') AND contains(left(trim(regexp_replace(line, '(token = ")[0-9a-f]{40}(")', '\\1********\\2', 'g')), 88), '')""")
+WHERE regexp_matches(line, 'token = "[0-9a-f]{40}"') AND contains(left(trim(regexp_replace(line, '(token = ")[0-9a-f]{40}(")', '\\1********\\2', 'g')), 88), '********')""")
 def secret_previews(spark, sf_dir):
     return redact.previews(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -135,11 +141,11 @@ def comment_splice(spark, sf_dir):
     return out.select("page_id", F.explode("pairs").alias("p"), F.sha2("view", 256).alias("view_sha256")).select("page_id", "p.original", "p.placeholder", "view_sha256")
 
 
-@query("SELECT count(*) AS n, count(*) AS n_same FROM pages")
+@query("""SELECT page_id, sha256(html) AS again_sha256, CAST(len(regexp_extract_all(html, '<!--[^>]*-->')) AS INTEGER) AS n FROM pages""")
 def comment_roundtrip(spark, sf_dir):
     out = markup.splice_comments(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
     again = redact.unredact(out, "view", "pairs", "again")
-    return again.agg(F.count("*").alias("n"), F.count_if(F.col("again") == F.col("html")).alias("n_same"))
+    return again.select("page_id", F.sha2("again", 256).alias("again_sha256"), F.size("pairs").alias("n"))
 
 
 _HIDE = "replace(html, '<div class=\"ad\">', '<div class=\"ad\" style=\"display:none\">')"
@@ -175,10 +181,18 @@ def html_gate_matrix(spark, sf_dir):
     return flags.groupBy("kind").agg(c("t").alias("tags"), c("l").alias("links"), c("u").alias("urls"), c("t or l").alias("markup"), c("u or t or l").alias("url_scan"), c("n").alias("non_ascii"))
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)secret|token|password|passwd|pwd|bearer|credential|authorization|-----BEGIN|(?:api|auth|service|account|db|database|priv|private|client|access)[_-]?key') THEN 'hint' ELSE 'none' END AS kind FROM documents) GROUP BY kind""")
+def _hint_sql() -> str:
+    literals, patterns = secrets.gate_parts()
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    # The shape arms need look-around, which DuckDB lacks; theirs are the detectors' bodies alone.
+    bare = [re.sub(r"\(\?<?[=!](?:[^()\[\]]|\[[^\]]*\])*\)", "", p) for p in patterns]
+    return " OR ".join([*(f"contains(low, {quoted(x)})" for x in literals), *(f"regexp_matches(flat, {quoted(p)})" for p in bare), "regexp_matches(low, '(?:ibm|cos|sl)[a-z_ \\-]*[\"'']?[ \\t]*[:=]')"])
+
+
+@query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN {_hint_sql()} THEN 'hint' ELSE 'none' END AS kind FROM (SELECT flat, lower(flat) AS low FROM (SELECT translate(text, chr(13) || chr(10), '') AS flat FROM documents))) GROUP BY kind""")
 def secret_hint_gate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("text")
-    return docs.groupBy(F.when(gates.secret_hint(F.col("text")), "hint").otherwise("none").alias("kind")).agg(F.count("*").alias("n"))
+    docs = secrets.with_hint(table(spark, sf_dir, "documents").select("text"), F.col("text"), "hint")
+    return docs.groupBy(F.when(F.col("hint"), "hint").otherwise("none").alias("kind")).agg(F.count("*").alias("n"))
 
 
 # ---- layer 1 ----
@@ -230,12 +244,12 @@ def instruction_scan(spark, sf_dir):
     return texts.scan_instructions(docs).select("doc_id", F.col("line").cast("long").alias("line"), "char_count", "method", "decoded")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 1 OR turn % 5 = 3 THEN 'block' WHEN turn % 5 = 2 THEN 'note' ELSE 'pass' END AS action FROM conversations WHERE length(text) > 0""")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 1 OR turn % 5 = 3 THEN 'block' WHEN turn % 5 = 2 THEN 'note' ELSE 'pass' END AS action FROM conversations""")
 def prompt_verdict(spark, sf_dir):
-    t = F.col("text")
+    t = F.coalesce("text", F.lit(""))
     salt = F.col("turn") % 5
-    prompt = F.when(salt == 1, F.concat(t, F.repeat(F.lit(ZWSP), 12))).when(salt == 2, F.concat(F.lit(ESC + "[1m"), t)).when(salt == 3, F.concat(F.lit(ESC + "[2J"), t)).when(salt == 4, F.concat(t, F.lit(ZWSP))).otherwise(t)
-    rows = table(spark, sf_dir, "conversations").where("length(text) > 0").select("conv_id", "turn", prompt.alias("text"))
+    prompt = F.when(salt == 1, F.concat(t, F.repeat(F.lit(ZWSP), 12))).when(salt == 2, F.concat(F.lit(ESC + "[1m"), t)).when(salt == 3, F.concat(F.lit(ESC + "[2J"), t)).when(salt == 4, F.concat(t, F.lit(ZWSP))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", prompt.alias("text"))
     return texts.prompt_verdicts(rows).select("conv_id", "turn", F.col("verdict.action").alias("action"))
 
 
@@ -265,11 +279,10 @@ def host_confusables_salted(spark, sf_dir):
     return out.select("page_id", F.explode("l3.hosts").alias("h")).select("page_id", "h.severity", "h.ascii_host", "h.reads")
 
 
-@query("""SELECT doc_id, replace(x, chr(1072), 'a') AS folded, len(x) - len(replace(x, chr(1072), '')) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(concat('cat x', doc_id), 'a', chr(1072)) ELSE concat('cat x', doc_id) END AS x FROM documents)""")
+@query("""SELECT doc_id, sha256(concat(text, ' cat')) AS folded_sha256, 1 AS n FROM documents""")
 def fold_fields_salted(spark, sf_dir):
-    plain = F.concat(F.lit("cat x"), F.col("doc_id").cast("string"))
-    x = F.when(F.col("doc_id") % 3 == 0, F.replace(plain, F.lit("a"), F.lit("\u0430"))).otherwise(plain)
-    return texts.fold(table(spark, sf_dir, "documents").select("doc_id", x.alias("text"))).select("doc_id", "folded", F.size("folds").cast("long").alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" c\u0430t")).alias("text"))
+    return texts.fold(docs).select("doc_id", F.sha2("folded", 256).alias("folded_sha256"), F.size("folds").alias("n"))
 
 
 @query("""SELECT style, hides, count(*) AS n FROM (SELECT CASE l_orderkey % 4 WHEN 0 THEN 'display:none' WHEN 1 THEN 'opacity:0.5' WHEN 2 THEN 'position:absolute;left:-9999px' ELSE 'color:red' END AS style, l_orderkey % 2 = 0 AS hides FROM lineitem) GROUP BY ALL""")
@@ -343,23 +356,29 @@ def scan_account(spark, sf_dir):
     return relational.scan_account(orders, orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 3 = 1"))
 
 
-@query("""SELECT n_nationkey, CAST(i AS INTEGER) AS pos, CAST(unicode(n_name[i+1]) AS INTEGER) AS cp, CAST(CASE WHEN i > 0 THEN unicode(n_name[i]) END AS INTEGER) AS previous, CAST(CASE WHEN i + 1 < length(n_name) THEN unicode(n_name[i+2]) END AS INTEGER) AS next
-FROM (SELECT n_nationkey, n_name, unnest(range(length(n_name))) AS i FROM nation)""")
+_CHARS = "(SELECT doc_id, unnest(l) AS ch, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, '') AS l FROM {}))"
+
+
+@query(f"""SELECT doc_id, count(*) AS n, CAST(sum(cp) AS BIGINT) AS points, CAST(sum(coalesce(previous, 0) * (pos % 7)) AS BIGINT) AS before, CAST(sum(coalesce(next, 0) * (pos % 5)) AS BIGINT) AS after
+FROM (SELECT doc_id, pos, unicode(ch) AS cp, lag(unicode(ch)) OVER w AS previous, lead(unicode(ch)) OVER w AS next FROM {_CHARS.format("documents")} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) GROUP BY doc_id""")
 def code_points(spark, sf_dir):
-    return codepoints.code_points(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", "n_nationkey")
+    rows = codepoints.code_points(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
+    total = lambda e: F.expr(f"CAST(sum({e}) AS BIGINT)")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), total("cp").alias("points"), total("coalesce(previous, 0) * (pos % 7)").alias("before"), total("coalesce(next, 0) * (pos % 5)").alias("after"))
 
 
-@query("""SELECT n_nationkey, code, count(*) AS n FROM (SELECT n_nationkey, unnest(['cf-format', 'cf-format', 'blank-fillers']) AS code FROM nation) GROUP BY ALL""")
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT doc_id, '{code}' AS code, CAST(length(text) - length(regexp_replace(text, '{regex_class(r)}', '', 'g')) AS BIGINT) AS n FROM {_SALTED}) WHERE n > 0" for code, r in (("cf-format", FORMAT_RANGES), ("variation-selectors", SELECTOR_RANGES), ("blank-fillers", BLANK_RANGES))))
 def code_point_classes(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit(ZWSP), "n_name", F.lit("\u2060\u3164")).alias("t"))
-    return codepoints.classify(codepoints.code_points(names, "t", "n_nationkey")).where("code IS NOT NULL").groupBy("n_nationkey", "code").agg(F.count("*").alias("n"))
+    docs = salted(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return codepoints.classify(codepoints.code_points(docs, "text", "doc_id")).where("code IS NOT NULL").groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT n_nationkey, CAST(unicode(n_name[1]) AS INTEGER) AS "left", CAST(unicode(n_name[2]) AS INTEGER) AS "right" FROM nation""")
+@query(f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST("left" AS INTEGER) AS "left", CAST("right" AS INTEGER) AS "right" FROM (SELECT *, last_value(seen IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS "left", first_value(seen IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS "right"
+FROM (SELECT doc_id, pos, regexp_matches(ch, '{_INV}') AS hid, CASE WHEN NOT regexp_matches(ch, '{_INV}') THEN unicode(ch) END AS seen FROM {_CHARS.format(_SALTED)})) WHERE hid""")
 def nearest_visible(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").select("n_nationkey", F.expr(f"concat(substring(n_name, 1, 1), '{ZWSP}{ZWSP}', substring(n_name, 2, 100))").alias("t"))
-    out = codepoints.nearest_visible(codepoints.classify(codepoints.code_points(names, "t", "n_nationkey")), "n_nationkey")
-    return out.where("pos = 1").select("n_nationkey", "left", "right")
+    docs = salted(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    out = codepoints.nearest_visible(codepoints.classify(codepoints.code_points(docs, "text", "doc_id")), "doc_id")
+    return out.where("code IS NOT NULL").select("doc_id", "pos", "left", "right")
 
 
 @query("""SELECT name, (name LIKE '%TOKEN%' OR name LIKE '%\\_KEY' ESCAPE '\\') AS secret, count(*) AS n FROM (SELECT CASE user_id % 4 WHEN 0 THEN 'MY_TOKEN_X' WHEN 1 THEN 'PATH' WHEN 2 THEN 'SERVICE_KEY' ELSE 'KEYBOARD_LAYOUT' END AS name FROM events) GROUP BY ALL""")
@@ -369,11 +388,11 @@ def env_names(spark, sf_dir):
     return names.groupBy("name", environment.is_credential_column(F.col("name")).alias("secret")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, CASE WHEN len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) = 1 THEN 'update' ELSE 'deny' END AS outcome FROM documents WHERE regexp_matches(text, 'token = "[0-9a-f]{40}"')""")
+@query("""SELECT doc_id, CASE WHEN n = 1 THEN 'update' ELSE 'deny' END AS outcome, CASE WHEN n = 1 THEN replace(one, 'token', 'TOKEN') END AS "new" FROM (SELECT doc_id, len(regexp_extract_all(text, 'token = "[0-9a-f]{40}"')) AS n, regexp_extract(text, 'token = "[0-9a-f]{40}"') AS one FROM documents) WHERE n > 0""")
 def rehydrate_edits(spark, sf_dir):
     out = redact.redact(table(spark, sf_dir, "documents").select("doc_id", "text")).where("size(l4.pairs) > 0")
     edits = out.select("doc_id", F.col("l4.view").alias("view"), F.col("l4.pairs").alias("pairs"), F.lit('token = "[REDACTED]"').alias("old"), F.lit('TOKEN = "[REDACTED]"').alias("new"), F.lit(False).alias("replace_all"))
-    return toolcalls.rehydrate_edits(edits).select("doc_id", "edit.outcome")
+    return toolcalls.rehydrate_edits(edits).select("doc_id", "edit.outcome", "edit.new")
 
 
 @query(f"""SELECT doc_id, sha256(CASE WHEN regexp_matches(p, '{_INV}{{10,}}') OR length(p) - length(regexp_replace(p, '{_INV}', '', 'g')) >= 30 THEN regexp_replace(p, '{_INV}', '', 'g') ELSE p END) AS text_sha256 FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '{_SEQ}', '', 'g'), '{_INTRO}', '', 'g') AS p FROM {_SALTED})""")
@@ -420,24 +439,138 @@ def risky_topk(spark, sf_dir):
     return docs.orderBy(F.desc("n"), "doc_id").limit(20)
 
 
-@query("""SELECT doc_id, sha256(replace(replace(text, 'the ', ''), 'and ', '')) AS text_sha256 FROM documents WHERE NOT contains(text, 'thand') AND NOT contains(text, 'ththe') AND NOT contains(text, 'anand') AND NOT contains(text, 'athe') AND NOT contains(text, 'anthe')""")
-def injected_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("NOT contains(text, 'thand') AND NOT contains(text, 'ththe') AND NOT contains(text, 'anand') AND NOT contains(text, 'athe') AND NOT contains(text, 'anthe')")
-    return texts.delete_spans(docs.withColumn("needles", F.array(F.lit("the "), F.lit("and ")))).select("doc_id", F.sha2("cleaned", 256).alias("text_sha256"))
-
-
 @query("""SELECT doc_id, sha256(regexp_replace(text, 'the |and ', '', 'g')) AS text_sha256 FROM documents""")
-def injected_filter_whole(spark, sf_dir):
+def injected_filter(spark, sf_dir):
     # Every document: one pass over the text, where a seam that reads like a needle stays.
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return texts.delete_spans(docs.withColumn("needles", F.array(F.lit("the "), F.lit("and ")))).select("doc_id", F.sha2("cleaned", 256).alias("text_sha256"))
 
 
 @query("""SELECT user_id, count(*) AS n_events, CAST(min(event_id) AS BIGINT) AS first_event FROM events GROUP BY user_id""")
+def alerts_by_session(spark, sf_dir):
+    from .streaming import notices
+
+    return notices.run_alerts(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""SELECT DISTINCT user_id, event_type FROM events""")
 def notices_once(spark, sf_dir):
     from .streaming import notices
 
-    return notices.run_once(spark, sf_dir)
+    return notices.run_once(spark, f"{sf_dir}/events.parquet").select("user_id", "event_type").distinct()
+
+
+# ---- rules, each put into whole texts ----
+
+# Content that must stay, and what only looks like it and must go: (put in, left over, categories).
+_CONTENT = [
+    ("\U0001f468\u200d\U0001f469\u200d\U0001f467", None, ""), ("\U0001f3f4\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f", None, ""), ("\u2764\ufe0f", None, ""), ("1\ufe0f\u20e3", None, ""),
+    ("\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645", None, ""), ("\u0915\u094d\u200d\u0937", None, ""), ("\u2205\ufe00", None, ""), ("\u845b\U000e0100", None, ""), ("\u2801\u2800\u2803", None, ""), ("\u1112\u1160\u11a8", None, ""),
+    ("\U0001f3f4\U000e0067\U000e0062.", "\U0001f3f4.", "cf-format"), ("a\ufe0fb", "ab", "variation-selectors"), ("a\u200db", "ab", "cf-format"), ("x\u2800y", "xy", "blank-fillers"), ("x\u3164y", "xy", "blank-fillers"), ("a\U000e0100b", "ab", "variation-selectors"),
+    ("\u845b" + "\U000e0100" * 12, "\u845b\U000e0100", "variation-selectors"), ("\U0001f468" + "\u200d\U0001f468" * 12, "\U0001f468" * 13, "cf-format"), ("\u2764\ufe0f" + "\u200b" * 30, "\u2764", "cf-format,variation-selectors"), ("\u202eabc\u202c", "abc", "cf-format"),
+]
+
+
+def _pick(key: str, values: list, render) -> str:
+    """SQL: the value that key picks, by its remainder."""
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {render(v)}" for k, v in enumerate(values)) + " END"
+
+
+def _picked(key: str, values: list):
+    """The same as a column."""
+    out = F.lit(values[-1])
+    for k in range(len(values) - 2, -1, -1):
+        out = F.when(F.col(key) % len(values) == k, F.lit(values[k])).otherwise(out)
+    return out
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query(f"""SELECT doc_id, sha256(concat(text, ' ', {_pick("doc_id", [c[0] if c[1] is None else c[1] for c in _CONTENT], _quoted)}, ' end')) AS cleaned_sha256, {_pick("doc_id", [c[2] for c in _CONTENT], _quoted)} AS found FROM documents""")
+def l1_content_salted(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), _picked("doc_id", [c[0] for c in _CONTENT]), F.lit(" end")).alias("text"))
+    return layer1.exact(docs).select("doc_id", F.sha2("l1.cleaned", 256).alias("cleaned_sha256"), F.array_join("l1.found", ",").alias("found"))
+
+
+_STYLES = [(s, True) for s in (
+    "display:none", "visibility:hidden", "visibility:collapse", "opacity:0", "opacity:0.001", "opacity:-1", "position:absolute;left:-9999px", "position:absolute;top:-200vw", "text-indent:-9999px", "position:absolute;clip:rect(0,0,0,0)", "clip-path:inset(50%)",
+    "font-size:0", "font-size:0.0001px", "height:0;overflow:hidden", "max-height:0;overflow:hidden", "max-width:0;overflow:hidden", "transform:scale(0)", "transform:scale(1e-9)", "transform:rotateX(90deg)", "transform:translateX(-9999px)", "color:transparent",
+    "color:#fff;background-color:white", "color:rgb(255,255,255);background:#ffffff", "color:hsl(0,0%,100%);background:#fff", "dis\\70 lay:none", "nonsense;display:none")] + [(s, False) for s in (
+    "opacity:0.5", "clip-path:inset(10%)", "font-size:12px", "width:0", "height:0;padding-bottom:56%;overflow:hidden", "transform:rotateY(45deg)", "color:#fff;background-color:black", "color:var(--x);background:white", "color:#fff;background:url(x) #fff", "display:none;display:block", "color:red")]
+
+
+@query(f"""SELECT page_id, {_pick("page_id", [s for s, _ in _STYLES], _quoted)} AS style, CASE WHEN {_pick("page_id", [str(h).lower() for _, h in _STYLES], str)} THEN 1 ELSE 0 END AS hidden, CASE WHEN {_pick("page_id", [str(h).lower() for _, h in _STYLES], str)} THEN concat('<p style="', replace({_pick("page_id", [s for s, _ in _STYLES], _quoted)}, '"', '&quot;'), '">canary</p>') END AS original FROM pages""")
+def css_rules_salted(spark, sf_dir):
+    style = _picked("page_id", [s for s, _ in _STYLES])
+    pages = table(spark, sf_dir, "pages").select("page_id", style.alias("style"), F.concat(F.coalesce("html", F.lit("")), F.lit('<p style="'), style, F.lit('">canary</p>')).alias("text"))
+    out = markup.sanitize_html(pages)
+    mine = F.filter("l2.pairs", lambda p: F.contains(p["original"], F.lit("canary")))
+    return out.select("page_id", "style", F.size(mine).alias("hidden"), F.try_element_at(mine, F.lit(1))["original"].alias("original"))
+
+
+_URLS = [
+    ("https://e.example/p?x=" + "A1b2" * 12, "suspicious query parameter"), ("https://e.example/#" + "A1b2" * 12, "suspicious query parameter"), ("https://e.example/p?x={{secret}}", "suspicious query parameter"), ("data:text/html,x", "active-content data: URI"), ("javascript:alert(1)", "script-executing URI"),
+    ("https://e.example/p?q=" + "word-" * 60, "unusually long query string"), ("https://e.example/#" + "word-" * 60, "unusually long fragment"), ("https://user:pw@e.example/x", "embedded credentials"), ("https://e.example/p?k=ghp_" + "A1b2" * 9, "credential-shaped token in URL parameter"),
+    ("data:image/png;base64," + "A1b2" * 1200, "oversized inline data: payload"), ("https://e.example/p?utm_source=x", None), ("https://e.example/p?sig=" + "A1b2" * 12, None), ("https://e.example/p?token=abc", None), ("https://e.example/a,b,c," + "id," * 30, None), ("https://e.example/plain", None),
+]
+
+
+@query(f"""SELECT * FROM (SELECT page_id, {_pick("page_id", [r for _, r in _URLS], lambda r: _quoted(r) if r else "NULL")} AS reason, CASE WHEN page_id % {len(_URLS)} IN (3, 9) THEN '(inline data: URI)' WHEN page_id % {len(_URLS)} = 4 THEN '' ELSE 'e.example' END AS target FROM pages) WHERE reason IS NOT NULL""")
+def exfil_reasons_salted(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit('<a href="'), _picked("page_id", [u for u, _ in _URLS]), F.lit('">l</a>')).alias("text"))
+    return markup.report_urls(pages).select("page_id", F.explode("l3.threats").alias("t")).select("page_id", "t.reason", "t.target")
+
+
+# Keys of each family from the hash of the row, so that no key stands here: (type, parts); a part is text, or (from, length) of the hash.
+_FAMILIES = [
+    ("AWS Access Key", ["AKIA", ("upper", 1, 16)]), ("Anthropic API Key", ["sk-ant-", (1, 40)]), ("Google API Key", ["AIza", (1, 35)]), ("DigitalOcean Token", ["dop_v1_", (1, 64)]), ("Cloudflare Origin CA Key", ["v1.0-", (1, 24), "-", (1, 64), (1, 64), (1, 18)]), ("Vault Token", ["hvs.", (1, 30)]),
+    ("Terraform Cloud API Token", [(1, 14), ".atlasv1.", (1, 64)]), ("GitHub Fine-Grained PAT", ["github_pat_", (1, 64), (1, 18)]), ("GitHub Token", ["ghp_", (1, 36)]), ("GitLab Token", ["glpat-", (1, 20)]), ("OpenRouter API Key", ["sk-or-v1-", (1, 64)]), ("OpenAI Token", ["sk-", (1, 20), "T3BlbkFJ", (1, 20)]),
+    ("Groq API Key", ["gsk_", (1, 52)]), ("xAI API Key", ["xai-", (1, 64), (1, 16)]), ("npm Token", ["npm_", (1, 36)]), ("Replicate API Token", ["r8_", (1, 37)]), ("Slack Token", ["xoxb-123456-", (1, 24)]), ("Slack Webhook", ["https://hooks.slack.com/services/T", (1, 8), "/B", (9, 8), "/", (17, 24)]),
+    ("Stripe Access Key", ["sk_live_", (1, 24)]), ("SendGrid API Key", ["SG.", (1, 22), ".", (1, 43)]), ("Square OAuth Secret", ["sq0csp-", (1, 43)]), ("Twilio API Key", ["SK", (1, 32)]), ("Telegram Bot Token", ["123456789:", (1, 35)]), ("Mailchimp Access Key", [(1, 32), "-us12"]),
+    ("Discord Bot Token", ["M", (1, 23), ".", (1, 6), ".", (1, 27)]), ("PyPI Token", ["pypi-AgE", (1, 64)]), ("Artifactory Credentials", ["AKC", (1, 20)]),
+]
+
+
+def _key_sql(parts: list, h: str) -> str:
+    return "concat(" + ", ".join(_quoted(x) if isinstance(x, str) else f"upper(substr({h}, {x[1]}, {x[2]}))" if x[0] == "upper" else f"substr({h}, {x[0]}, {x[1]})" for x in parts) + ")"
+
+
+@query(f"""SELECT doc_id, {_pick("doc_id", [n for n, _ in _FAMILIES], _quoted)} AS secret_type, {_pick("doc_id", [p for _, p in _FAMILIES], lambda p: _key_sql(p, "sha256(CAST(doc_id AS VARCHAR))"))} AS original,
+sha256(concat(regexp_replace(text, '(token = ")[0-9a-f]{{40}}(")', '\\1[REDACTED]\\2', 'g'), ' is [REDACTED: ', {_pick("doc_id", [n for n, _ in _FAMILIES], _quoted)}, '] end')) AS view_sha256 FROM documents""")
+def secret_families_salted(spark, sf_dir):
+    key = F.expr(_pick("doc_id", [p for _, p in _FAMILIES], lambda p: _key_sql(p, "sha2(CAST(doc_id AS STRING), 256)")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" is "), key, F.lit(" end")).alias("text"))
+    out = redact.redact(docs)
+    last = F.element_at("l4.pairs", -1)
+    return out.select("doc_id", F.regexp_extract(last["placeholder"], r"^\[REDACTED: (.*)\]$", 1).alias("secret_type"), last["original"].alias("original"), F.sha2("l4.view", 256).alias("view_sha256"))
+
+
+# Values of credential fields, and whether gates let them stand in local text and in text from outside.
+_VALUES = [
+    ("YOUR_API_KEY_PLACEHOLDER", True, True), ("your-token-goes-in-here", True, True), ("process.env.SOME_TOKEN_NAME", True, True), ("2024-01-02T03:04:05.123456Z", True, True), ("123e4567-e89b-12d3-a456-426614174000", True, True), ("https://example.com/some/path", True, True),
+    ("config.credentials.api_token", True, False), ("/var/run/secrets/token-file", True, False), ("https://user:pw@example.com/path", False, False), ("A1b2C3d4E5f6A1b2C3d4E5f6", False, False), ("correct-Horse-battery-Staple", False, False),
+]
+
+
+@query(f"""SELECT doc_id, {_pick("doc_id", [v for v, _, _ in _VALUES], _quoted)} AS value, CASE doc_id % 2 WHEN 0 THEN {_pick("doc_id", [str(a).lower() for _, a, _ in _VALUES], str)} ELSE {_pick("doc_id", [str(b).lower() for _, _, b in _VALUES], str)} END AS stays FROM documents""")
+def field_gates_salted(spark, sf_dir):
+    value = _picked("doc_id", [v for v, _, _ in _VALUES])
+    docs = table(spark, sf_dir, "documents").select("doc_id", value.alias("value"), F.concat("text", F.lit("\nsecret = "), value, F.lit("\n")).alias("text"))
+    out = redact.redact(docs, local=F.col("doc_id") % 2 == 0)
+    return out.select("doc_id", "value", F.endswith("l4.view", F.concat(F.lit("\nsecret = "), "value", F.lit("\n"))).alias("stays"))
+
+
+_VALUE = "l\u00e4ngster Wert von allen"
+
+
+@query(f"""SELECT doc_id, sha256(concat(regexp_replace(text, '(token = ")[0-9a-f]{{40}}(")', '\\1[REDACTED]\\2', 'g'), ' [REDACTED: LONGEST] [REDACTED: LONGEST] !')) AS view_sha256, 2 + len(regexp_extract_all(text, 'token = "[0-9a-f]{{40}}"')) AS n FROM documents""")
+def known_values_salted(spark, sf_dir):
+    # A known value with letters of other scripts and blanks, once as it is and once spliced with an invisible character.
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(f" {_VALUE} {_VALUE[:5]}{ZWSP}{_VALUE[5:]} !")).alias("text"))
+    out = redact.redact(docs, known={"LONGEST": _VALUE})
+    return out.select("doc_id", F.sha2("l4.view", 256).alias("view_sha256"), F.size("l4.pairs").cast("long").alias("n"))
 
 
 assert INVISIBLE == _INV

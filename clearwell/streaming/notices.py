@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,15 +34,47 @@ def alerts(stream: DataFrame, session: str = "user_id") -> DataFrame:
     return stream.groupBy(session).agg(F.count("*").alias("n_events"), F.min("event_id").alias("first_event"))
 
 
-def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """alerts() over the events table read as a stream to its end; the state is the result."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    path = f"{sf_dir}/events.parquet"
-    source = path if os.path.isdir(path) else sf_dir
-    reader = spark.readStream.schema(schema)
-    stream = reader.parquet(source) if source == path else reader.option("pathGlobFilter", "events.parquet").parquet(source)
-    name = "alerts_" + uuid.uuid4().hex
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clearwell-stream-")
-    q = alerts(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; a session on one machine without it uses its warehouse."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, one file or a folder, as a stream."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if system.getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def run_once(spark: SparkSession, path: str) -> DataFrame:
+    """once() for each user and type of event over a table read as a stream to its end, as a table."""
+    out = _scratch(spark, "notices")
+    kept = once(read_table(spark, path).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_type", "ts")
+    q = kept.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{out}/rows")
+
+
+def run_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """alerts() over a table read as a stream to its end: the state after the last batch, as a table."""
+    out = _scratch(spark, "alerts")
+    state = alerts(read_table(spark, path))
+
+    def replace(batch: DataFrame, n: int) -> None:
+        batch.write.parquet(f"{out}/rows/{n}", mode="overwrite")
+
+    q = state.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if q.lastProgress is None:
+        return spark.createDataFrame([], state.schema)
+    return spark.read.schema(state.schema).parquet(f"{out}/rows/{q.lastProgress['batchId']}")

@@ -164,7 +164,7 @@ def test_injected_filter_reads_every_document(spark, tmp_path):
     rows = [(1, "the thande and x"), (2, "weathethe r anandd "), (3, "plain")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {1: "thande x", 2: "weather anandd ", 3: "plain"}
-    found = {r["doc_id"]: r["text_sha256"] for r in QUERIES["injected_filter_whole"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r["text_sha256"] for r in QUERIES["injected_filter"](spark, str(tmp_path)).collect()}
     assert found == {d: hashlib.sha256(brute(t).encode()).hexdigest() for d, t in rows} and {d: brute(t) for d, t in rows} == want
 
 
@@ -188,3 +188,19 @@ def test_host_confusables_reads_the_pages(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = QUERIES["host_confusables_salted"](spark, str(tmp_path)).where("reads = 'apple.example'").collect()
     assert {r["page_id"] for r in found} == {1, 10}
+
+
+def test_restore_keeps_every_row(spark):
+    mark = "[HTML comment removed #9a65a667b62d]"
+    rows = [(None, f"a{mark}b"), (1, f"a{mark}b"), (1, "none"), (1, None), (2, f"{mark}{mark}"), (2, "[HTML comment removed #000000000000]")]
+    store = relational.span_store(spark.createDataFrame([(mark, "<!-- one -->")], "placeholder string, original string"))
+    back = relational.restore_from_store(spark.createDataFrame(rows, "page_id long, text string"), store, "page_id")
+    got = sorted(((r["page_id"] or 0, r["text"] or "", r["restored"], r["denied"]) for r in back.collect()), key=repr)
+    assert got == sorted([(0, f"a{mark}b", "a<!-- one -->b", False), (1, f"a{mark}b", "a<!-- one -->b", False), (1, "none", "none", False), (1, "", None, False), (2, f"{mark}{mark}", "<!-- one -->" * 2, False), (2, rows[5][1], None, True)], key=repr)
+
+
+def test_the_longest_scope_wins_and_rows_stay_single(spark):
+    scopes = spark.createDataFrame([("mcp__*", "content", "covered"), ("mcp__files__*", "content", "exempt"), ("Edit", "content", "covered"), ("Edit", "content", "covered")], "tool string, field string, kind string")
+    calls = spark.createDataFrame([("mcp__files__x", "content"), ("mcp__a", "content"), ("mcp__a", "content"), ("Edit", "content"), ("Edit", "other"), (None, "content")], "tool string, field string")
+    got = sorted((r["tool"] or "", r["field"], r["kind"]) for r in relational.scope_fields(calls, scopes).collect())
+    assert got == [("", "content", "undeclared"), ("Edit", "content", "covered"), ("Edit", "other", "undeclared"), ("mcp__a", "content", "covered"), ("mcp__a", "content", "covered"), ("mcp__files__x", "content", "exempt")]

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from clearwell.queries import FLAGSHIP, QUERIES, SQL
+from clearwell.operators import layer1
+from clearwell.queries import FLAGSHIP, QUERIES, SQL, table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -29,5 +31,24 @@ def test_query(spark, data, views, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() >= 0 and FLAGSHIP in __spark_entry__.queries()
+    rows = __spark_entry__.entry(spark).collect()
+    assert len(rows) > 1 and sum(r["n_docs"] for r in rows) == table(spark, "/root/testdata/sf0.001", "documents").count() and FLAGSHIP in __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_one_scan_and_few_python_stages(spark, data):
+    from clearwell.plans import sanitize
+
+    docs = table(spark, data, "documents").select("doc_id", "text")
+    plan = sanitize.sanitize(docs, secrets=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Union") == 0 and plan.count("ArrowEvalPython") <= 4
+    native = docs.select(layer1.native(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert native.count("regexp_replace") <= 10
+
+
+def test_only_a_missing_subpackage_is_passed_over(monkeypatch):
+    import __spark_entry__
+
+    assert __spark_entry__._given("clearwell.llm.no_such_module") is None
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__._given("no_such_package.module")

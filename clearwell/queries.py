@@ -15,8 +15,11 @@ from .functions import ansi, environment, gates, invisible, secrets
 from .functions.characters import BLANK_RANGES, FORMAT_RANGES, INTRODUCER_RANGES, INVISIBLE, SELECTOR_RANGES, regex_class
 from .operators import codepoints, layer1, markup, redact, relational, texts, toolcalls
 from .plans import sanitize
+from .sources.spread import spread
 
 FLAGSHIP = "redact_fields_by_lang"
+#: Tables of long texts, and their keys.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -34,7 +37,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, TEXTS[name]) if name in TEXTS else rows
 
 
 # ---- things put into the tables: the Spark and the SQL spelling ----

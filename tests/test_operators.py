@@ -204,3 +204,11 @@ def test_the_longest_scope_wins_and_rows_stay_single(spark):
     calls = spark.createDataFrame([("mcp__files__x", "content"), ("mcp__a", "content"), ("mcp__a", "content"), ("Edit", "content"), ("Edit", "other"), (None, "content")], "tool string, field string")
     got = sorted((r["tool"] or "", r["field"], r["kind"]) for r in relational.scope_fields(calls, scopes).collect())
     assert got == [("", "content", "undeclared"), ("Edit", "content", "covered"), ("Edit", "other", "undeclared"), ("mcp__a", "content", "covered"), ("mcp__a", "content", "covered"), ("mcp__files__x", "content", "exempt")]
+
+
+def test_spread(spark):
+    from clearwell.sources.spread import spread
+
+    one, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 4)
+    assert spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many, "id") is many
+    assert spread(one, "id").count() == 100

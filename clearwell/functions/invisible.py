@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .characters import BLANKS, BLANK_RANGES, CLASS_OF, CONTENT_CANDIDATE, FORMAT, FORMAT_RANGES, INVISIBLE, LONG_RUN, SCATTERED, SELECTOR_RANGES, SELECTORS, python_class, regex_class
+from .characters import BLANKS, BLANK_RANGES, CLASS_OF, CONTENT_CANDIDATE, FORMAT, FAST_INVISIBLE, FORMAT_RANGES, LONG_RUN, SCATTERED, SELECTOR_RANGES, SELECTORS, fast_class, python_class
 
 # --- fixed values: limits of what counts as content ---
 JOINER_RUN, SELECTOR_RUN = 8, 8
@@ -43,34 +43,34 @@ _CLUSTER = regex.compile(r"\X")
 
 
 #: A byte-order mark that leads the text is no finding.
-_NOT_BOM = r"(?!\A\x{FEFF})"
+_NOT_BOM = r"(?<!\A\x{FEFF})"
 
 
 def strip(c: Column) -> Column:
     """Every tracked character goes, but a leading byte-order mark."""
-    return F.regexp_replace(c, F.lit(_NOT_BOM + INVISIBLE), F.lit(""))
+    return F.regexp_replace(c, F.lit(FAST_INVISIBLE + _NOT_BOM), F.lit(""))
 
 
 def found(c: Column) -> Column:
     """Categories that c holds beyond a leading byte-order mark, in order."""
     tests = ((FORMAT, FORMAT_RANGES), (SELECTORS, SELECTOR_RANGES), (BLANKS, BLANK_RANGES))
-    return F.array_compact(F.array(*(F.when(c.rlike((_NOT_BOM if code == FORMAT else "") + regex_class(r)), code) for code, r in tests)))
+    return F.array_compact(F.array(*(F.when(c.rlike(fast_class(r) + (_NOT_BOM if code == FORMAT else "")), code) for code, r in tests)))
 
 
 def count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(INVISIBLE))
+    return F.regexp_count(c, F.lit(FAST_INVISIBLE))
 
 
 def has_any(c: Column) -> Column:
-    return c.rlike(INVISIBLE)
+    return c.rlike(FAST_INVISIBLE)
 
 
 def has_long_run(c: Column) -> Column:
-    return c.rlike(INVISIBLE + "{%d,}" % LONG_RUN)
+    return c.rlike(FAST_INVISIBLE + "{%d,}" % LONG_RUN)
 
 
 def long_runs(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit("(" + INVISIBLE + "{%d,}+)" % LONG_RUN), F.lit(1))
+    return F.regexp_extract_all(c, F.lit("(" + FAST_INVISIBLE + "{%d,}+)" % LONG_RUN), F.lit(1))
 
 
 def may_have_content(c: Column) -> Column:

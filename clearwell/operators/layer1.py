@@ -81,9 +81,13 @@ def _exact(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def exact(df: DataFrame, text: str = "text", into: str = "l1") -> DataFrame:
-    """df with a struct (cleaned, de_ansi, found, ansi_kinds).  One scan: rows without any tracked character go to Python as null."""
+    """df with a struct (cleaned, de_ansi, found, ansi_kinds).  One scan: rows without any tracked character go to Python as null.
+
+    Here and in the other layers the stage is declared nondeterministic: else a
+    filter on its result is pushed below it and runs it a second time.
+    """
     c = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn(into, _exact(F.when(touched(c), c)))
+    out = df.withColumn(into, _exact.asNondeterministic()(F.when(touched(c), c)))
     whole = F.struct(*(F.coalesce(F.col(into)[k], c).alias(k) for k in ("cleaned", "de_ansi")), *(F.col(into)[k].alias(k) for k in ("found", "ansi_kinds")))
     return out.withColumn(into, whole)
 

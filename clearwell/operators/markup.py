@@ -39,7 +39,7 @@ def _sanitize(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def sanitize_html(df: DataFrame, text: str = "text", into: str = "l2") -> DataFrame:
     """df with a struct of HTML.  One scan: rows without a tag go to Python as null."""
     c = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn(into, _sanitize(F.when(gates.has_tag(c), c)))
+    out = df.withColumn(into, _sanitize.asNondeterministic()(F.when(gates.has_tag(c), c)))
     return out.withColumn(into, F.struct(F.coalesce(F.col(into)["cleaned"], c).alias("cleaned"), *(F.col(into)[k].alias(k) for k in HTML.names[1:])))
 
 
@@ -81,7 +81,7 @@ def _report(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def report_urls(df: DataFrame, text: str = "text", into: str = "l3") -> DataFrame:
     """df with a struct (threats, hosts).  One scan: rows without markup or a URL go to Python as null."""
     c = F.col(text)
-    return df.withColumn(into, _report(F.when(gates.needs_url_scan(c), c)))
+    return df.withColumn(into, _report.asNondeterministic()(F.when(gates.needs_url_scan(c), c)))
 
 
 @F.pandas_udf(T.ArrayType(URL))

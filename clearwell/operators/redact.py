@@ -44,7 +44,7 @@ def redact(df: DataFrame, text: str = "text", local: Column | bool = True, into:
     """df with a struct of RESULT.  One scan: rows without a hint of a secret go to Python as null."""
     c = F.coalesce(F.col(text), F.lit(""))
     trusted = local if isinstance(local, Column) else F.lit(local)
-    out = secrets.with_hint(df, c, "__hint", known).withColumn(into, redactor(high_confidence, known)(F.when(F.col("__hint"), c), trusted))
+    out = secrets.with_hint(df, c, "__hint", known).withColumn(into, redactor(high_confidence, known).asNondeterministic()(F.when(F.col("__hint"), c), trusted))
     view = F.when(F.col("__hint"), F.col(into)["view"]).otherwise(c)
     return out.withColumn(into, F.struct(view.alias("view"), *(F.col(into)[k].alias(k) for k in RESULT.names[1:]))).drop("__hint")
 

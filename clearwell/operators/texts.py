@@ -52,7 +52,7 @@ def prompt_verdicts(df: DataFrame, text: str = "text", into: str = "verdict") ->
             yield pd.DataFrame([("pass", None) if t is None else instructions.classify_prompt(t) for t in texts], columns=VERDICT.names)
 
     c = F.col(text)
-    return df.withColumn(into, judge(F.when(touched(c), c)))
+    return df.withColumn(into, judge.asNondeterministic()(F.when(touched(c), c)))
 
 
 def fold(df: DataFrame, text: str = "text") -> DataFrame:
@@ -65,7 +65,7 @@ def fold(df: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame([(t, [dict(zip(FOLD.names, f, strict=True)) for f in fs]) for t, fs in rows], columns=["folded", "folds"])
 
     c = F.coalesce(F.col(text), F.lit(""))
-    done = df.withColumn("__f", run(F.when(gates.non_ascii(c), c)))
+    done = df.withColumn("__f", run.asNondeterministic()(F.when(gates.non_ascii(c), c)))
     return done.withColumns({"folded": F.coalesce("__f.folded", c), "folds": F.col("__f.folds")}).drop("__f")
 
 

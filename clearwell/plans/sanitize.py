@@ -35,15 +35,15 @@ def sanitize(df: DataFrame, text: str = "text", html: bool = True, urls: bool =
     return out.drop("__t").withColumn("found", F.array_distinct("found"))
 
 
-def findings(sanitized: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, layer, code, severity): one row for each code of each row."""
+def findings(sanitized: DataFrame, key: str = "doc_id", *keep: str) -> DataFrame:
+    """(key, keep, layer, code, severity): one row for each code of each row."""
     layer = F.create_map(*[F.lit(x) for pair in LAYER.items() for x in pair])
     code = F.col("code")
     loud = code != EXFIL
     if "l3" in sanitized.columns:
         loud = loud | F.exists("l3.threats", lambda t: t["auto_fetched"])
     rows = sanitized.select("*", F.explode("found").alias("code"))
-    return rows.select(key, layer[code].alias("layer"), "code", F.when(loud, "warning").otherwise("note").alias("severity"))
+    return rows.select(key, *keep, layer[code].alias("layer"), "code", F.when(loud, "warning").otherwise("note").alias("severity"))
 
 
 def banner(sanitized: DataFrame) -> DataFrame:

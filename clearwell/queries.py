@@ -426,7 +426,7 @@ _FINDINGS = f"""(SELECT doc_id, lang, code FROM (SELECT doc_id, lang, unnest([CA
 @query(f"SELECT lang, code, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM {_FINDINGS} GROUP BY CUBE (lang, code)")
 def findings_cube(spark, sf_dir):
     docs = salted(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text")
-    found = sanitize.findings(sanitize.sanitize(docs), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    found = sanitize.findings(sanitize.sanitize(docs), "doc_id", "lang")
     return relational.findings_cube(found, "lang", "code")
 
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .characters import BLANKS, BLANK_RANGES, CLASS_OF, CONTENT_CANDIDATE, FORMAT, FAST_INVISIBLE, FORMAT_RANGES, LONG_RUN, SCATTERED, SELECTOR_RANGES, SELECTORS, fast_class, python_class
+from .characters import BLANKS, BLANK_RANGES, CLASS_OF, CONTENT_CANDIDATE, FORMAT, FORMAT_RANGES, INVISIBLE, LONG_RUN, SCATTERED, SELECTOR_RANGES, SELECTORS, python_class, regex_class
 
 # --- fixed values: limits of what counts as content ---
 JOINER_RUN, SELECTOR_RUN = 8, 8
@@ -48,29 +48,34 @@ _NOT_BOM = r"(?<!\A\x{FEFF})"
 
 def strip(c: Column) -> Column:
     """Every tracked character goes, but a leading byte-order mark."""
-    return F.regexp_replace(c, F.lit(FAST_INVISIBLE + _NOT_BOM), F.lit(""))
+    return F.regexp_replace(c, F.lit(INVISIBLE + _NOT_BOM), F.lit(""))
 
 
 def found(c: Column) -> Column:
     """Categories that c holds beyond a leading byte-order mark, in order."""
     tests = ((FORMAT, FORMAT_RANGES), (SELECTORS, SELECTOR_RANGES), (BLANKS, BLANK_RANGES))
-    return F.array_compact(F.array(*(F.when(c.rlike(fast_class(r) + (_NOT_BOM if code == FORMAT else "")), code) for code, r in tests)))
+    return F.array_compact(F.array(*(F.when(c.rlike(regex_class(r) + (_NOT_BOM if code == FORMAT else "")), code) for code, r in tests)))
+
+
+def beyond_ascii(c: Column) -> Column:
+    """Tracked characters other than ESC take several bytes: texts of as many bytes as characters have none."""
+    return F.octet_length(c) != F.length(c)
 
 
 def count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(FAST_INVISIBLE))
+    return F.when(c.isNull() | beyond_ascii(c), F.regexp_count(c, F.lit(INVISIBLE))).otherwise(0)
 
 
 def has_any(c: Column) -> Column:
-    return c.rlike(FAST_INVISIBLE)
+    return beyond_ascii(c) & c.rlike(INVISIBLE)
 
 
 def has_long_run(c: Column) -> Column:
-    return c.rlike(FAST_INVISIBLE + "{%d,}" % LONG_RUN)
+    return beyond_ascii(c) & c.rlike(INVISIBLE + "{%d,}" % LONG_RUN)
 
 
 def long_runs(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit("(" + FAST_INVISIBLE + "{%d,}+)" % LONG_RUN), F.lit(1))
+    return F.regexp_extract_all(c, F.lit("(" + INVISIBLE + "{%d,}+)" % LONG_RUN), F.lit(1))
 
 
 def may_have_content(c: Column) -> Column:

@@ -22,8 +22,8 @@ INERT = "Inert ANSI stripped (display-only colour and/or a stray escape byte tha
 
 
 def touched(c: Column) -> Column:
-    """Whether c has any tracked character; one test of one class."""
-    return c.rlike(TRACKED)
+    """Whether c has any tracked character; plain ASCII is told by its length, the rest by one class."""
+    return (invisible.beyond_ascii(c) | c.contains("\x1b")) & c.rlike(TRACKED)
 
 
 def native(c: Column) -> Column:

@@ -122,6 +122,14 @@ def test_common_is_longest():
         assert places == sorted(set(places)) and all(v in rest for v in kept) and len(kept) == brute_lcs(a, b)
 
 
+def test_common_of_many_repeated_lines():
+    a = [0] * 30_000 + [1] + [0] * 10 + [2]
+    b = [3] + [0] * 20_000 + [1] + [0] * 30_000 + [2]
+    places = page_diff.common(a, b)
+    rest = iter(b)
+    assert places == sorted(set(places)) and all(a[k] in rest for k in places) and {1, 2} <= {a[k] for k in places} and len(places) >= 20_000
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
     <header>Top</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- c --><div class="ad">Buy</div>
@@ -132,6 +140,8 @@ def test_main_text():
     # Without markup that names the article, shared lines are the frame.
     plain = "<body><p>Site name</p><p>The story of the day.</p><p>All rights</p></body>"
     assert page_diff.main_text(plain, [0, 2]) == "The story of the day."
+    # Shared lines of an article stay.
+    assert page_diff.main_text(page, [0, 1, 2, 3, 4]) == "Head & line Onetwo three four five é six"
     assert page_diff.main_text(plain, [0, 1, 2]) == "Site name The story of the day. All rights"
     assert page_diff.main_text("<p>open <b>bold <i>x", []) == "open bold x"
 

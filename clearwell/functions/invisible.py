@@ -216,6 +216,17 @@ def payload_of(kind: Mapping[int, str | None]) -> int:
     return sum(v is None for v in kind.values())
 
 
+def strip_mapped(text: str) -> tuple[str, list[int]]:
+    """(text without any tracked character, deletions): deletions[k] is the place in the new text before which the k-th went.  For detection only."""
+    gone = [m.start() for m in _ANY.finditer(text)]
+    return _ANY.sub("", text), [at - k for k, at in enumerate(gone)]
+
+
+def source_place(deletions: list[int], at: int) -> int:
+    """The place in the old text of a place in the new one."""
+    return at + bisect_right(deletions, at)
+
+
 def payload_count(text: str) -> int:
     """Invisible characters that are no content."""
     return payload_of(kinds(text))

@@ -113,9 +113,28 @@ def occurrences(text: str, needle: str, overlapping: bool = False) -> list[int]:
     return out
 
 
+def anchors(view: str, content: str, taken: Iterable[tuple[int, int]] = ()) -> tuple[int, int]:
+    """Lengths of the beginning and the end that two texts share, drawn back so that neither cuts one of the taken spans of view."""
+    most = min(len(view), len(content))
+    start = next((k for k in range(most) if view[k] != content[k]), most)
+    end = next((k for k in range(most - start) if view[-1 - k] != content[-1 - k]), most - start)
+    for a, b in sorted(taken):
+        if a < start < b:
+            start = a
+        if a < len(view) - end < b:
+            end = len(view) - b
+    return start, end
+
+
 # ---- native ----
 
 
+def straddles(start: Column, end: Column, places: Column) -> Column:
+    """Whether any of the places (line ends, say) lies inside a span."""
+    return F.exists(places, lambda n: (n >= start) & (n < end))
+
+
+
 def placeholder_column(label: str, original: Column) -> Column:
     return F.concat(F.lit(f"[{label} removed #"), F.substring(F.sha2(original, 256), 1, 12), F.lit("]"))
 

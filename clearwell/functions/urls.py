@@ -244,6 +244,20 @@ def fold_text(text: str) -> tuple[str, list[tuple[int, str, str]]]:
     return "".join(out), folds
 
 
+def fold_found(text: str, found: list[tuple[int, str, str]]) -> tuple[str, list[tuple[int, str, str]]]:
+    """(text, folds) by what another scanner found; each find must be a glyph beyond ASCII that stands where it says, with an ASCII character for it."""
+    out = list(text)
+    for at, glyph, latin in found:
+        if not 0 <= at < len(text):
+            raise ValueError("a find lies outside the text")
+        if len(glyph) != 1 or glyph.isascii() or text[at] != glyph:
+            raise ValueError("a find does not stand where it says")
+        if len(latin) != 1 or not latin.isascii() or not latin.isprintable():
+            raise ValueError("a find has no ASCII character for it")
+        out[at] = latin
+    return "".join(out), sorted(found)
+
+
 def describe_folds(folds: list[tuple[int, str, str]], most: int = 8) -> str:
     seen = list(dict.fromkeys(f'U+{ord(g):04X} → "{x}"' for _, g, x in folds))
     return ", ".join(seen[:most]) + (", …" if len(seen) > most else "")

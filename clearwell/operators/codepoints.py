@@ -31,3 +31,8 @@ def nearest_visible(points: DataFrame, key: str) -> DataFrame:
     seen = F.when(F.col("code").isNull(), F.col("cp"))
     order = Window.partitionBy(key).orderBy("pos")
     return points.withColumns({"left": F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "right": F.first(seen, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))})
+
+
+def registered_variations(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Rows of code_points() that are the selector of a registered pair (base, selector), by an equi-join with the table of pairs."""
+    return points.join(pairs.select(F.col("base").alias("previous"), F.col("selector").alias("cp")).distinct(), ["previous", "cp"], "left_semi").select(key, "pos", "previous", "cp")

@@ -74,21 +74,21 @@ def clean_units(units: list[int]) -> tuple[list[int], list[str]]:
     return [int.from_bytes(out[k : k + 2], "little") for k in range(0, len(out), 2)], found
 
 
-@F.pandas_udf(T.StructType([T.StructField("cleaned", T.StringType()), T.StructField("de_ansi", T.StringType()), T.StructField("found", T.ArrayType(T.StringType())), T.StructField("ansi_kinds", T.ArrayType(T.StringType()))]))
+@F.pandas_udf(T.StructType([T.StructField("cleaned", T.StringType()), T.StructField("de_ansi", T.StringType()), T.StructField("found", T.ArrayType(T.StringType())), T.StructField("ansi_kinds", T.ArrayType(T.StringType())), T.StructField("long_run", T.BooleanType()), T.StructField("payload", T.IntegerType())]))
 def _exact(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.DataFrame([(None, None, [], []) if t is None else clean_text(t) for t in texts], columns=["cleaned", "de_ansi", "found", "ansi_kinds"])
+        yield pd.DataFrame([(None, None, [], [], False, 0) if t is None else (*(c := clean_text(t)), invisible.payload_run(c[1]) is not None, invisible.effective_count(c[1])) for t in texts], columns=["cleaned", "de_ansi", "found", "ansi_kinds", "long_run", "payload"])
 
 
 def exact(df: DataFrame, text: str = "text", into: str = "l1") -> DataFrame:
-    """df with a struct (cleaned, de_ansi, found, ansi_kinds).  One scan: rows without any tracked character go to Python as null.
+    """df with a struct (cleaned, de_ansi, found, ansi_kinds, long_run, payload).  One scan: rows without any tracked character go to Python as null.
 
     Here and in the other layers the stage is declared nondeterministic: else a
     filter on its result is pushed below it and runs it a second time.
     """
     c = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn(into, _exact.asNondeterministic()(F.when(touched(c), c)))
-    whole = F.struct(*(F.coalesce(F.col(into)[k], c).alias(k) for k in ("cleaned", "de_ansi")), *(F.col(into)[k].alias(k) for k in ("found", "ansi_kinds")))
+    whole = F.struct(*(F.coalesce(F.col(into)[k], c).alias(k) for k in ("cleaned", "de_ansi")), *(F.col(into)[k].alias(k) for k in ("found", "ansi_kinds", "long_run", "payload")))
     return out.withColumn(into, whole)
 
 

@@ -23,23 +23,26 @@ COMMENT = r"<!--(?:[^-]|-[^-]|--[^>])*?-->"
 SIMPLE_COMMENT = r"(<!--[^>]*-->)"
 
 
+# Series to frame, not iterators: Spark runs several such functions in one stage.
 @F.pandas_udf(HTML)
-def _sanitize(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = []
-        for t in texts:
-            if t is None:
-                rows.append((None, [], 0, 0, {}, 0))
-                continue
-            c = html.sanitize(t)
-            rows.append((c.text, [p._asdict() for p in c.pairs], c.comments, c.hidden, c.tags, c.data_sources))
-        yield pd.DataFrame(rows, columns=HTML.names)
-
-
-def sanitize_html(df: DataFrame, text: str = "text", into: str = "l2") -> DataFrame:
-    """df with a struct of HTML.  One scan: rows without a tag go to Python as null."""
+def _sanitize(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in texts:
+        if t is None:
+            rows.append((None, [], 0, 0, {}, 0))
+            continue
+        c = html.sanitize(t)
+        rows.append((c.text, [p._asdict() for p in c.pairs], c.comments, c.hidden, c.tags, c.data_sources))
+    return pd.DataFrame(rows, columns=HTML.names)
+
+
+def sanitize_html(df: DataFrame, text: str = "text", into: str = "l2", urls_into: str | None = None) -> DataFrame:
+    """df with a struct of HTML, and in the same stage with report_urls() if ``urls_into`` is given.  One scan: rows without a tag go to Python as null."""
     c = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn(into, _sanitize.asNondeterministic()(F.when(gates.has_tag(c), c)))
+    stages = {into: _sanitize.asNondeterministic()(F.when(gates.has_tag(c), c))}
+    if urls_into:
+        stages[urls_into] = _report.asNondeterministic()(F.when(gates.needs_url_scan(c), c))
+    out = df.withColumns(stages)
     return out.withColumn(into, F.struct(F.coalesce(F.col(into)["cleaned"], c).alias("cleaned"), *(F.col(into)[k].alias(k) for k in HTML.names[1:])))
 
 
@@ -64,18 +67,17 @@ def _host_rows(text: str | None) -> list[dict]:
 
 
 @F.pandas_udf(T.StructType([T.StructField("threats", T.ArrayType(THREAT)), T.StructField("hosts", T.ArrayType(HOST))]))
-def _report(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = []
-        for t in texts:
-            if t is None:
-                rows.append(([], []))
-                continue
-            try:
-                rows.append((_exfil_rows(t), _host_rows(t)))
-            except Exception:  # a scan that fails must not read as one that found nothing
-                rows.append(([{"is_image": False, "auto_fetched": False, "reason": urls.SENTINEL, "target": "(unparsable URL)"}], []))
-        yield pd.DataFrame(rows, columns=["threats", "hosts"])
+def _report(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in texts:
+        if t is None:
+            rows.append(([], []))
+            continue
+        try:
+            rows.append((_exfil_rows(t), _host_rows(t)))
+        except Exception:  # a scan that fails must not read as one that found nothing
+            rows.append(([{"is_image": False, "auto_fetched": False, "reason": urls.SENTINEL, "target": "(unparsable URL)"}], []))
+    return pd.DataFrame(rows, columns=["threats", "hosts"])
 
 
 def report_urls(df: DataFrame, text: str = "text", into: str = "l3") -> DataFrame:

@@ -16,39 +16,55 @@ PAIR = T.StructType([T.StructField("placeholder", T.StringType()), T.StructField
 RESULT = T.StructType([T.StructField("view", T.StringType()), T.StructField("found", T.ArrayType(T.StringType())), T.StructField("pairs", T.ArrayType(PAIR)), T.StructField("error", T.StringType())])
 
 
-def redactor(high_confidence: bool = False, known: Mapping[str, str] | None = None):
-    """Column function (text, local) -> RESULT.  A row that fails has a null view and the kind of its error, never its text."""
+def redactor(high_confidence: bool = False, known: Mapping[str, str] | None = None, seconds: float | None = None):
+    """Column function (text, local) -> RESULT.  A row that fails, or takes longer than ``seconds``, has a null view and the kind of its error, never its text."""
     known = dict(known or {})
     for name in known:
         secrets.label(name)
 
     @F.pandas_udf(RESULT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, local in batches:
-            rows = []
-            for t, trusted in zip(texts, local, strict=True):
-                if t is None:
-                    rows.append((None, [], [], None))
-                    continue
-                try:
-                    view, found, pairs = secrets.redact(t, bool(trusted), high_confidence, known)
-                    rows.append((view, found, [p._asdict() for p in pairs], None))
-                except Exception as e:  # the row is withheld, not the job stopped
-                    rows.append((None, [], [], type(e).__name__))
-            yield pd.DataFrame(rows, columns=RESULT.names)
+    def run(texts: pd.Series, local: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, trusted in zip(texts, local, strict=True):
+            if t is None:
+                rows.append((None, [], [], None))
+                continue
+            try:
+                view, found, pairs = secrets.redact(t, bool(trusted), high_confidence, known, seconds)
+                rows.append((view, found, [p._asdict() for p in pairs], None))
+            except Exception as e:  # the row is withheld, not the job stopped
+                rows.append((None, [], [], type(e).__name__))
+        return pd.DataFrame(rows, columns=RESULT.names)
 
     return run
 
 
-def redact(df: DataFrame, text: str = "text", local: Column | bool = True, into: str = "l4", high_confidence: bool = False, known: Mapping[str, str] | None = None) -> DataFrame:
-    """df with a struct of RESULT.  One scan: rows without a hint of a secret go to Python as null."""
+def redact(df: DataFrame, text: str = "text", local: Column | bool = True, into: str = "l4", high_confidence: bool = False, known: Mapping[str, str] | None = None, seconds: float | None = None, also: Mapping[str, Column] | None = None) -> DataFrame:
+    """df with a struct of RESULT, and the columns of ``also`` from the same stage.  One scan: rows without a hint of a secret go to Python as null."""
     c = F.coalesce(F.col(text), F.lit(""))
     trusted = local if isinstance(local, Column) else F.lit(local)
-    out = secrets.with_hint(df, c, "__hint", known).withColumn(into, redactor(high_confidence, known).asNondeterministic()(F.when(F.col("__hint"), c), trusted))
+    stage = redactor(high_confidence, known, seconds).asNondeterministic()(F.when(F.col("__hint"), c), trusted)
+    out = secrets.with_hint(df, c, "__hint", known).withColumns({into: stage, **(also or {})})
     view = F.when(F.col("__hint"), F.col(into)["view"]).otherwise(c)
     return out.withColumn(into, F.struct(view.alias("view"), *(F.col(into)[k].alias(k) for k in RESULT.names[1:]))).drop("__hint")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _vet(rows: pd.Series, local: pd.Series) -> pd.Series:
+    def one(text: str | None, trusted: bool) -> str | None:
+        try:
+            return None if text is None else secrets.redact(text, trusted)[0]
+        except Exception:  # withheld
+            return None
+
+    return pd.Series([[one(t, bool(x)) for t in r] if r is not None else [] for r, x in zip(rows, local, strict=True)], dtype=object)
+
+
+def vet(texts: Column, local: Column | bool = True) -> Column:
+    """An array of texts without secrets; null in place of one that could not be vetted."""
+    return _vet.asNondeterministic()(texts, local if isinstance(local, Column) else F.lit(local))
+
+
 def unredact(df: DataFrame, view: str, pairs: str, into: str) -> DataFrame:
     """Native: the text that redaction or splicing started from."""
     return df.withColumn(into, unsplice_column(view, pairs))

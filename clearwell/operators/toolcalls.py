@@ -66,6 +66,15 @@ def rehydrate_edits(df: DataFrame, view: str = "view", pairs: str = "pairs", old
     return df.withColumn(into, run(*(F.col(c) for c in (view, pairs, old, new, every))))
 
 
+#: Tools that write files, and so may carry a placeholder to disk.
+WRITERS = ("Edit", "MultiEdit", "NotebookEdit", "Write")
+
+
+def may_rehydrate(tool: Column, texts: Column) -> Column:
+    """Native: whether a call writes a file and any of its texts holds a placeholder."""
+    return tool.isin(*WRITERS) & F.exists(texts, lambda t: F.size(placeholders(t)) > 0)
+
+
 def placeholders(c: Column) -> Column:
     """Native: the placeholders in a text, in order."""
     return F.regexp_extract_all(c, F.lit(r"(\[REDACTED(?:: [A-Za-z0-9 ()._-]{1,64})?\]|\[(?:HTML comment|hidden HTML) removed #[0-9a-f]{12}\])"), F.lit(1))

@@ -23,3 +23,15 @@ def read_reveals(spark: SparkSession, path: str, days: int = TTL_DAYS) -> DataFr
 def lookup(keys: DataFrame, store: DataFrame, key: str = "sha256") -> DataFrame:
     """keys with content, null where the store has none."""
     return keys.join(store, key, "left")
+
+
+def sweep(spark: SparkSession, path: str, days: int = TTL_DAYS) -> list[str]:
+    """Delete the days of a store that are too old to be read; their names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = spark.range(1).select(F.date_sub(F.current_date(), days).cast("string")).first()[0]
+    old = [f.getPath() for f in system.listStatus(where) if f.getPath().getName().startswith("day=") and f.getPath().getName()[4:] < last]
+    for folder in old:
+        system.delete(folder, True)
+    return sorted(folder.getName() for folder in old)

@@ -8,20 +8,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import layer1
+from ..operators import layer1, redact, texts
 
-REQUEST = T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType()), T.StructField("id", T.StringType())])
+REQUEST = T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType()), T.StructField("id", T.StringType()), T.StructField("options", T.StructType([T.StructField("web", T.BooleanType())]))])
 #: Longest request, in bytes.
 REQUEST_CAP = 10 * 1024 * 1024
 
 
+OPERATIONS = ("sanitize", "sanitizeText", "classifyPrompt", "scanText", "redact")
+
+
 def answer(lines: DataFrame) -> DataFrame:
-    """(id, cleaned, error) for each JSON line of a batch or stream; a bad or oversized line is an error row and stops nothing."""
+    """(id, op, cleaned, action, findings, error) for each JSON line of a batch or stream.
+
+    sanitize and sanitizeText strip, redact also takes secrets out (option web:
+    the text comes from outside), classifyPrompt judges, scanText lists hidden runs.
+    A bad or oversized line is an error row and stops nothing.
+    """
     parsed = F.from_json("value", REQUEST, {"mode": "PERMISSIVE"})
     rows = lines.select(F.when(F.octet_length("value") <= REQUEST_CAP, F.col("value")).alias("value")).withColumn("r", parsed)
-    error = F.when(F.col("value").isNull(), "request too large").when(F.col("r.op").isNull(), "not a request").when(~F.col("r.op").isin("sanitize", "sanitizeText"), "unknown op").when(F.col("r.text").isNull(), "text is not a string")
-    rows = rows.select(F.col("r.id").alias("id"), F.col("r.text").alias("text"), error.alias("error"))
-    return rows.select("id", F.when(F.col("error").isNull(), layer1.native(F.col("text"))).alias("cleaned"), "error")
+    error = F.when(F.col("value").isNull(), "request too large").when(F.col("r.op").isNull(), "not a request").when(~F.col("r.op").isin(*OPERATIONS), "unknown op").when(F.col("r.text").isNull(), "text is not a string")
+    rows = rows.select(F.col("r.id").alias("id"), F.col("r.op").alias("op"), F.col("r.text").alias("text"), F.coalesce("r.options.web", F.lit(False)).alias("web"), error.alias("error"))
+    good = lambda *ops: F.when(F.col("error").isNull() & F.col("op").isin(*ops), F.col("text"))
+    rows = texts.prompt_verdicts(rows.withColumn("__p", good("classifyPrompt")), "__p", "__v")
+    rows = redact.redact(rows.withColumn("__r", layer1.native(good("redact"))), "__r", ~F.col("web"), "__l4")
+    rows = rows.withColumn("__f", texts._findings(good("scanText")))
+    cleaned = F.coalesce(layer1.native(good("sanitize", "sanitizeText")), F.when(F.col("__r").isNotNull(), F.col("__l4.view")))
+    error = F.coalesce("error", F.when(F.col("__r").isNotNull(), F.col("__l4.error")))
+    return rows.select("id", "op", cleaned.alias("cleaned"), F.when(F.col("__p").isNotNull(), F.col("__v.action")).alias("action"), F.when(good("scanText").isNotNull(), F.col("__f")).alias("findings"), error.alias("error"))
+
+
+LEVELS = ("off", "info", "debug")
+
+
+def trace(events: DataFrame, level: str = "off") -> DataFrame:
+    """(line): one JSON text for each event (level, ...) of this level or a quieter one; nothing when off."""
+    if level not in LEVELS:
+        raise ValueError(f"level is one of {', '.join(LEVELS)}")
+    shown = LEVELS[1 : LEVELS.index(level) + 1]
+    return events.where(F.col("level").isin(*shown) if shown else F.lit(False)).select(F.to_json(F.struct(*events.columns)).alias("line"))
+
+
+def unacknowledged(found: DataFrame, acks: DataFrame, session: str = "session", time: str = "time", days: int = 7) -> DataFrame:
+    """Alerts no older than ``days`` that no later acknowledgement of their session covers."""
+    young = found.where(F.col(time) >= F.current_timestamp() - F.make_interval(days=F.lit(days)))
+    last = acks.groupBy(F.col(session).alias("__s")).agg(F.max(time).alias("__t"))
+    return young.join(last, (F.col(session) == F.col("__s")) & (F.col(time) <= F.col("__t")), "left_anti")
+
+
+def slow_runs(runs: DataFrame, over: float = 1.0) -> DataFrame:
+    """runs (seconds, cpu_seconds) of more than ``over`` seconds, with notice: how long, and whether they worked or waited."""
+    waited = F.greatest(F.col("seconds") - F.col("cpu_seconds"), F.lit(0.0))
+    kind = F.when(waited > F.col("cpu_seconds"), "waiting").otherwise("working")
+    return runs.where(F.col("seconds") > over).withColumn("notice", F.concat(F.lit("took "), F.format_number("seconds", 1), F.lit(" s, mostly "), kind))
 
 
 def once(stream: DataFrame, session: str, notice: str, time: str, within: str = "7 days") -> DataFrame:

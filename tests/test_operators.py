@@ -1,6 +1,7 @@
 """Operators on small frames, files and streams."""
 
 import hashlib
+import json
 import os
 
 import pytest
@@ -133,6 +134,10 @@ def test_requests(spark):
     lines = spark.createDataFrame([('{"op":"sanitize","text":"a\\u200bb","id":"1"}',), ("nonsense",), ('{"op":"other","text":"x","id":"2"}',), ('{"op":"sanitize","id":"3"}',)], "value string")
     got = {(r["id"], r["cleaned"], r["error"]) for r in notices.answer(lines).collect()}
     assert got == {("1", "ab", None), (None, None, "not a request"), ("2", None, "unknown op"), ("3", None, "text is not a string")}
+    more = [{"op": "classifyPrompt", "text": "x" + Z * 12, "id": "4"}, {"op": "scanText", "text": "x" + Z * 12, "id": "5"}, {"op": "redact", "text": f"a{Z} {KEY}", "id": "6"}, {"op": "redact", "text": "secret = config.credentials.api_token", "id": "7"}, {"op": "redact", "text": "secret = config.credentials.api_token", "id": "8", "options": {"web": True}}]
+    rows = {r["id"]: r for r in notices.answer(spark.createDataFrame([(json.dumps(m),) for m in more], "value string")).collect()}
+    assert rows["4"]["action"] == "block" and [f["char_count"] for f in rows["5"]["findings"]] == [12] and rows["6"]["cleaned"] == "a [REDACTED: GitHub Token]"
+    assert rows["7"]["cleaned"] == more[3]["text"] and rows["8"]["cleaned"] == "secret = [REDACTED]" and all(r["error"] is None for r in rows.values())
 
 
 def test_streams(spark, tmp_path):
@@ -212,3 +217,77 @@ def test_spread(spark):
     one, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 4)
     assert spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many, "id") is many
     assert spread(one, "id").count() == 100
+
+
+def test_exits_are_vetted_and_layer_five_only_deletes(spark):
+    rows = [(1, f"<p hidden>key {KEY}</p> seen", None), (2, "say evil words now", (["evil words", "absent"], "spans-removed")), (3, "plain", ([], "filter-flagged")), (4, f"to{KEY[:10]}--{KEY[10:]}", (["--"], "spans-removed")), (5, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, injection struct<remove:array<string>,code:string>")
+    got = {r["doc_id"]: r for r in sanitize.tell(sanitize.sanitize(df, secrets=True, injection="injection")).collect()}
+    assert KEY not in got[1]["reveal"] and "[REDACTED: GitHub Token]" in got[1]["reveal"] and [p["original"] for p in got[1]["splices"]] == ["<p hidden>key [REDACTED: GitHub Token]</p>"]
+    assert got[1]["warnings"][0] == "HTML sanitized: 1 hidden element(s) replaced with placeholders" and got[1]["modified"]
+    assert got[2]["cleaned"] == "say  now" and got[2]["warnings"][-1].startswith("Layer-5 injection filter removed") and got[2]["reveal"] is None and got[2]["splices"] is None
+    assert got[3]["cleaned"] == "plain" and not got[3]["modified"] and "content not modified" in got[3]["warnings"][0]
+    assert got[4]["cleaned"] == "to[REDACTED: GitHub Token]"  # what a deletion brings together is redacted again
+    assert got[5]["cleaned"] == "" and got[5]["warnings"] == [] and not got[5]["modified"]
+    bad = df.withColumn("injection", F.struct(F.array(F.lit("x")).alias("remove"), F.lit("free text").alias("code")))
+    with pytest.raises(Exception, match="unknown code"):
+        sanitize.sanitize(bad, injection="injection").collect()
+
+
+def test_messages_and_notes(spark):
+    rows = [(1, "\x1b[31mred\x1b[0m"), (2, f"a{Z * 12}"), (3, '<script>x</script><img src="data:image/png;base64,AA"> <a href="https://e.example/?d=' + "A1b2" * 12 + '">l</a>')]
+    out = sanitize.sanitize(spark.createDataFrame(rows, "doc_id long, text string"))
+    loud, quiet = ({r["doc_id"]: r for r in sanitize.tell(out, q).collect()} for q in (False, True))
+    assert loud[1]["warnings"][0].startswith("Stripped: ANSI escapes") and quiet[1]["warnings"] == [] and quiet[1]["notes"] == [layer1.INERT] and quiet[1]["sgr_note"]
+    assert "[LONG RUN" in quiet[2]["warnings"][0] and any("1 <script>" in n for n in loud[3]["notes"]) and any(n.startswith("URLs shaped like data exfiltration detected (left intact): link to e.example: suspicious") for n in loud[3]["notes"])
+
+
+def test_postures_budgets_and_leaves(spark):
+    df = spark.createDataFrame([("a", "b"), ("c", None), (None, None)], "text string, cleaned string")
+    assert [r["output"] for r in sanitize.envelope(df, "text").collect()] == ["b", "[output withheld: it could not be sanitized]", None]
+    assert [r["output"] for r in sanitize.envelope(df, "text", on_error="pass_with_warning").collect()] == ["b", "[not sanitized] c", None]
+    with pytest.raises(Exception, match="could not be sanitized"):
+        sanitize.envelope(df, "text", on_error="fail").collect()
+    spent = redact.redact(spark.createDataFrame([(f"x {KEY}",), ("none",)], "text string"), seconds=0.0).collect()
+    assert [(r["l4"]["view"], r["l4"]["error"]) for r in spent] == [(None, "BudgetExceeded"), ("none", None)]
+    nested = spark.createDataFrame([(["a"], {"k": "b"}), (["a" + Z], {"k": "b"}), (["a"], {"k": "\x1b"}), (None, None)], "a array<string>, m map<string,string>")
+    assert [r["modified"] for r in sanitize.modified_values(nested, "a", "m").collect()] == [False, True, True, False]
+    calls = spark.createDataFrame([("Bash", f"c\u0430t file{Z * 12}"), ("Bash", "plain"), ("Bash", None)], "tool string, text string")
+    assert [(r["updated"], len(r["notes"])) for r in sanitize.pre_tool(calls).collect()] == [("cat file", 2), ("plain", 0), ("", 0)]
+
+
+def test_small_functions(spark, tmp_path):
+    from clearwell.functions import invisible, spans, urls
+    from clearwell.operators import codepoints
+
+    bare, gone = invisible.strip_mapped(f"a{Z}b{Z}{Z}c")
+    assert bare == "abc" and [invisible.source_place(gone, k) for k in range(3)] == [0, 2, 5]
+    assert spans.anchors("abcXdef", "abcYYdef") == (3, 3) and spans.anchors("ab[RED]cd", "ab[RAD]cd", [(2, 7)]) == (2, 2) and spans.anchors("same", "same") == (4, 0)
+    assert urls.fold_found("c\u0430t", [(1, "\u0430", "a")])[0] == "cat"
+    for bad in ([(9, "\u0430", "a")], [(0, "\u0430", "a")], [(1, "\u0430", "\u0431")], [(0, "c", "c")]):
+        with pytest.raises(ValueError, match="find"):
+            urls.fold_found("c\u0430t", bad)
+    df = spark.createDataFrame([(1, "c\u0430t")], "doc_id long, text string")
+    assert texts.fold(df, scan=lambda t: [(1, "\u0430", "o")]).first()["folded"] == "cot"
+    assert texts.prompt_verdicts(spark.createDataFrame([("a\x1b[31mb",)], "text string"), strip=lambda t: t + Z * 12).first()["verdict"]["action"] == "block"
+    verdicts = spark.createDataFrame([("prompt", "pass"), ("prompt", "note"), ("prompt", "block"), ("prompt", "odd"), ("other", "pass")], "event string, action string")
+    assert [r["decision"] for r in texts.host_verdicts(verdicts).collect()] == ["allow", "note", "deny", "deny", "deny"]
+    calls = spark.createDataFrame([("Edit", ["x", "[REDACTED]"]), ("Edit", ["x"]), ("Bash", ["[REDACTED]"])], "tool string, texts array<string>")
+    assert [r["m"] for r in calls.select(toolcalls.may_rehydrate(F.col("tool"), F.col("texts")).alias("m")).collect()] == [True, False, False]
+    lines = spark.createDataFrame([(0, 4, [5]), (3, 9, [5]), (5, 6, [5])], "a int, b int, n array<int>")
+    assert [r["s"] for r in lines.select(spans.straddles(F.col("a"), F.col("b"), F.col("n")).alias("s")).collect()] == [False, True, True]
+    points = codepoints.code_points(spark.createDataFrame([(1, "\u2205\ufe00a\ufe00")], "k int, t string"), "t", "k")
+    pairs = spark.createDataFrame([(0x2205, 0xFE00)], "base int, selector int")
+    assert [r["pos"] for r in codepoints.registered_variations(points, pairs, "k").collect()] == [1]
+    events = spark.createDataFrame([("info", "a"), ("debug", "b")], "level string, what string")
+    assert [notices.trace(events, x).count() for x in ("off", "info", "debug")] == [0, 1, 2] and json.loads(notices.trace(events, "info").first()["line"]) == {"level": "info", "what": "a"}
+    now = "current_timestamp()"
+    found = spark.sql(f"SELECT 's' AS session, {now} - INTERVAL 2 DAYS AS time UNION ALL SELECT 's', {now} UNION ALL SELECT 't', {now} - INTERVAL 9 DAYS UNION ALL SELECT 'u', {now}")
+    acks = spark.sql(f"SELECT 's' AS session, {now} - INTERVAL 1 DAYS AS time")
+    assert sorted(r["session"] for r in notices.unacknowledged(found, acks).collect()) == ["s", "u"]
+    runs = spark.createDataFrame([(0.5, 0.5), (3.0, 2.5), (4.0, 0.5)], "seconds double, cpu_seconds double")
+    assert [r["notice"] for r in notices.slow_runs(runs).collect()] == ["took 3.0 s, mostly working", "took 4.0 s, mostly waiting"]
+    store = str(tmp_path / "store")
+    stores.append_reveals(spark.createDataFrame([("x",)], "content string"), store)
+    os.makedirs(f"{store}/day=2001-01-01")
+    assert stores.sweep(spark, store) == ["day=2001-01-01"] and stores.read_reveals(spark, store).count() == 1

@@ -29,8 +29,9 @@ def classify(points: DataFrame) -> DataFrame:
 def nearest_visible(points: DataFrame, key: str) -> DataFrame:
     """Classified points with left and right, the nearest code points that are not invisible."""
     seen = F.when(F.col("code").isNull(), F.col("cp"))
-    order = Window.partitionBy(key).orderBy("pos")
-    return points.withColumns({"left": F.last(seen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "right": F.first(seen, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))})
+    # Both look back, one of them along the text from its end: a frame that runs to the end is computed anew for each row.
+    forth, back = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("pos"), F.col("pos").desc()))
+    return points.withColumns({"left": F.last(seen, ignorenulls=True).over(forth), "right": F.last(seen, ignorenulls=True).over(back)})
 
 
 def registered_variations(points: DataFrame, pairs: DataFrame, key: str) -> DataFrame:

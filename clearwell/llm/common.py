@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch; with texts of some hundred KB a batch stays under some hundred MB.
@@ -89,6 +92,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give the memory that a worker has freed back to the system; workers are used again by tasks of other kinds."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """run, with trim() when a task ends."""
+
+    @functools.wraps(run)
+    def trimmed(batches: Iterable) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return trimmed
+
+
 class Memo(dict):
     """A dict that computes what it lacks and stops growing at a bound."""
 

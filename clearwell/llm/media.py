@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import lean, prepare, written
 from .gear import Chunker
 
 CHUNKER = Chunker(bits=11, least=512, most=16_384)
@@ -82,7 +82,7 @@ def listed(docs: DataFrame, chunker: Chunker = CHUNKER) -> DataFrame:
             sizes = pa.array([len((t or "").encode()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], sizes, pa.array([x[2] for x in cut], pa.binary()), pa.array([x[1] for x in cut], pa.list_(pa.binary()))], ["doc_id", "id", "h", "n_bytes", "recipe", "digests"])
 
-    return _keyed(docs).select("doc_id", "id", "h", "text").mapInArrow(run, "doc_id long, id long, h long, n_bytes long, recipe binary, digests array<binary>")
+    return _keyed(docs).select("doc_id", "id", "h", "text").mapInArrow(lean(run), "doc_id long, id long, h long, n_bytes long, recipe binary, digests array<binary>")
 
 
 def owners(lists: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def packs(docs: DataFrame, known: DataFrame, chunker: Chunker = CHUNKER) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in PACK.split(", ")])
 
     rows = _keyed(docs).join(known, ["id", "h"], "left")
-    return rows.select("text", "recipe", "copy", "missing", "lent").mapInArrow(run, PACK)
+    return rows.select("text", "recipe", "copy", "missing", "lent").mapInArrow(lean(run), PACK)
 
 
 def store(docs: DataFrame, chunker: Chunker = CHUNKER, most_sent: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:

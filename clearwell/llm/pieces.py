@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, lean
 
 #: Bounds of a worker's memories: blank-separated words, parts between cuts, pairs of pieces.
 WORDS, PARTS, PAIRS = 250_000, 300_000, 400_000
 SPACE = "▁"
+#: Texts on which the encoder must agree with the library before it is used: another file may normalise or split otherwise.
+PROBES = ("", " ", "a", "A b", "  two  blanks ", "\ttab", "a\nb", "é e\u0301 \ufb01 \uff21 \u2460", "日本語 テスト", "x1234,5.6!", "▁low", "</s>[INST] <unk> <0x41>", "\U0001f642 ok")
 _BARE = "\x02"
 
 
@@ -59,8 +61,14 @@ class PieceEncoder:
         self.parts = Memo(self._part, PARTS)
         self.words = Memo(self._word, WORDS)
         # Words stay apart in the fast path below only if no piece has a space after another character.
+        if lib.vocab_size() > 65_536 or any(lib.is_byte(lib.piece_to_id(f"<0x{b:02X}>")) is False for b in range(256)):
+            raise ValueError("the model has too many pieces, or no pieces for single bytes")
         self.apart = not any(b == SPACE != a for a, b in self.inside) and not any("\n" in p for p in self.id)
 
+        for probe in PROBES:
+            if self.encode(probe).tolist() != lib.encode(probe):
+                raise ValueError("the model normalises text, or has pieces that are no merges")
+
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by merging neighbours, the best score first, the leftmost of equal ones."""
         parts = list(text)
@@ -169,7 +177,7 @@ def encode(docs: DataFrame, file: str, end_id: int) -> DataFrame:
             n, i, a, d = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.list_(pa.int32())), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def _sha256(text: str) -> str:

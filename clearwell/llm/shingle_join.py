@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NARROW_ROWS, Memo, batch_rows, drop_table, release, written
+from .common import NARROW_ROWS, Memo, batch_rows, drop_table, lean, release, written
 from .components import components
 
 WORDS = 5
@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, words: int, threshold: int, seed: int) -> DataFrame:
             n, c, k, p = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(p, pa.list_(pa.int64()))], ["id", "h", "n", "c", "check", "pre"])
 
-    return _keyed(docs).mapInArrow(run, "id long, h long, n long, c long, check long, pre array<long>")
+    return _keyed(docs).mapInArrow(lean(run), "id long, h long, n long, c long, check long, pre array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _meeting(sets: DataFrame, threshold: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x[fits], pa.int64()) for x in (last[2], last[1])], ["c", "n"])
 
     tokens = sets.where("pre IS NOT NULL").select(F.explode("pre").alias("token"), "n", "c")
-    met = tokens.repartition("token").sortWithinPartitions("token", "n", "c").mapInArrow(run, "c long, n long")
+    met = tokens.repartition("token").sortWithinPartitions("token", "n", "c").mapInArrow(lean(run), "c long, n long")
     least = f"({threshold} * n + 99) DIV 100"
     return met.groupBy("c", "n").count().where(f"count >= 1 + {threshold} * ({least}) DIV {100 * SHARED_PART}").select("c")
 
@@ -213,7 +213,7 @@ def _whole(docs: DataFrame, classes: DataFrame, words: int, seed: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["c", "n", "s"])
 
     texts = docs.select(_id().alias("rep"), "text").join(_sent(classes), "rep").select("text", "c")
-    sets = written(texts.mapInArrow(run, "c long, n long, s array<long>"), "whole")
+    sets = written(texts.mapInArrow(lean(run), "c long, n long, s array<long>"), "whole")
     # Rows that repeat an id and a text give a class twice.
     return sets if sets.groupBy("c").count().where("count > 1").isEmpty() else written(sets.dropDuplicates(["c"]), "whole")
 
@@ -256,7 +256,7 @@ def _prefixes(useful: DataFrame, threshold: int) -> DataFrame:
             kinds = [pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["c", "n", "u", "score", "s", "p0", "p1", "p2"])
 
-    return useful.mapInArrow(run, "c long, n int, u long, score double, s array<long>, p0 array<long>, p1 array<int>, p2 array<int>")
+    return useful.mapInArrow(lean(run), "c long, n int, u long, score double, s array<long>, p0 array<long>, p1 array<int>, p2 array<int>")
 
 
 def _fit(a: str, b: str, threshold: int) -> str:
@@ -371,9 +371,10 @@ def link(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> Dat
 def dedup(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """docs with one row of each group, one with the smallest doc_id; every row without words stays."""
     judged = written(_judged(docs, words, threshold).where("n > 0"), "judged")
-    keepers = judged.where("id = first").groupBy("first").agg(F.min("h").alias("keep"))
-    gone = judged.join(keepers, "first").where("id <> first OR h <> keep").select("id", "h").distinct()
-    gone = written(gone, "copies")
+    first = judged.where("id = first")
+    keepers = first.groupBy("first").agg(F.min("h").alias("keep"), F.max("h").alias("most")).where("keep <> most")  # few: rows that share the kept id
+    gone = judged.where("id <> first").select("id", "h").unionByName(first.join(keepers, "first").where("h <> keep").select("id", "h"))
+    gone = written(gone.distinct(), "copies")
     key = (F.col("id") == _id()) & (F.col("h") == _hash())
     kept = docs.join(_sent(gone), key, "left_anti")
     again = written(judged.where("id = first").groupBy("id", "h").count().where("count > 1").select("id", "h"), "again")

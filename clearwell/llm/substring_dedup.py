@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, prepare, written
+from .common import drop_table, lean, prepare, written
 from .gear import Chunker
 
 CHUNKER = Chunker(bits=4, least=12, most=128, window=16)
@@ -52,7 +52,7 @@ def chunks(docs: DataFrame, chunker: Chunker = CHUNKER) -> DataFrame:
             rows = [[x for x, _, _ in _cut(t, chunker)] for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "h", "digests"])
 
-    return _keyed(docs).select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, digests array<long>")
+    return _keyed(docs).select("doc_id", "h", "text").mapInArrow(lean(run), "doc_id long, h long, digests array<long>")
 
 
 def _cut(text: str | None, chunker: Chunker) -> Iterator[tuple[int, int, int]]:
@@ -124,7 +124,7 @@ def surroundings(docs: DataFrame, wanted: DataFrame, chunker: Chunker = CHUNKER)
     few = wanted.limit(BROADCAST_WANTED + 1).count() <= BROADCAST_WANTED
     by_doc = wanted.groupBy("doc_id").agg(F.collect_set("digest").alias("asked"))
     texts = _keyed(docs).select("doc_id", "text").join(F.broadcast(by_doc) if few else by_doc, "doc_id")
-    found = texts.mapInArrow(run, "doc_id long, digest long, before binary, after binary")
+    found = texts.mapInArrow(lean(run), "doc_id long, digest long, before binary, after binary")
     return written(found.groupBy("doc_id", "digest").agg(F.min("before").alias("before"), F.min("after").alias("after")), "surroundings")
 
 
@@ -161,7 +161,7 @@ def _judged(docs: DataFrame, chunker: Chunker, min_words: int) -> DataFrame:
     rows = docs.select(F.struct(*own).alias("doc"), "text", _id().alias("__id"), _hash().alias("__h"))
     found = repeats(docs, chunker).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "runs")
     joined = rows.join(found, ["__id", "__h"], "left").select("doc", "text", "runs")
-    return joined.mapInArrow(cut, f"doc {joined.schema['doc'].dataType.simpleString()}, {_NEW}, text string")
+    return joined.mapInArrow(lean(cut), f"doc {joined.schema['doc'].dataType.simpleString()}, {_NEW}, text string")
 
 
 def dedup(docs: DataFrame, chunker: Chunker = CHUNKER, min_words: int = MIN_WORDS) -> DataFrame:

@@ -43,6 +43,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
+
 #: Rows of each label that the fit may gather on the driver.  Their texts are read whole, as scoring does.
 FIT_ROWS = {1: 1500, 0: 2500}
 WINDOW_BYTES = 52
@@ -242,6 +244,7 @@ def score_column(model: Model, text: str = "text"):
         scorer = model.scorer()
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+        trim()
 
     return score(F.col(text))
 

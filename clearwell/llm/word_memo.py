@@ -18,6 +18,8 @@ from .common import Memo
 #: Bounds of the two memories of a worker.
 WORDS = 400_000
 PRETOKENS = 700_000
+#: Texts on which the encoder must agree with the library before it is used: another file may normalise or split otherwise.
+PROBES = ("", " ", "a", "A b", "  two  blanks ", "\ttab", "a\nb", "É e\u0301 \ufb01 \uff21 \u2460", "日本語 テスト", "x1234,5.6!?", "don't I'LL", "<|endoftext|>", "</s>[INST]", "\U0001f642 ok")
 #: Letters outside ASCII that Unicode has never changed, and lower case of which is one letter.
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(rf"[!-;=-~¿¡À-ÖØ-Þ{_LETTERS}]*")
@@ -43,6 +45,9 @@ class WordEncoder:
         self.library = Tokenizer.from_file(file)
         self.words = Memo(self._word, WORDS)
         self.pretokens = Memo(self._pretoken, PRETOKENS)
+        for probe in PROBES:
+            if self.encode(probe) != self._by_library(probe):
+                raise ValueError("the tokenizer normalises or splits text in another way than this encoder")
 
     def _by_library(self, text: str) -> bytes:
         return self._packed(self.library.encode(text, add_special_tokens=False).ids)

@@ -39,7 +39,7 @@ MIN_WORDS = 40
 #: Chunks of a run that is worth extending, and bytes by which it can grow on either side.
 ANCHOR, CONTEXT = 2, 512
 #: Chunks whose surroundings are asked for: up to this number they are sent to every task; more are joined by shuffle.
-BROADCAST_WANTED = 300_000
+BROADCAST_WANTED = 1_000_000
 _ID = -(1 << 63)
 _RUN = "start int, end int, left_first long, left long, right_first long, right long"
 
@@ -76,24 +76,27 @@ def _hash():
 
 
 def anchors(docs: DataFrame, chunker: Chunker = CHUNKER) -> DataFrame:
-    """(doc_id, h, start, end, left_first, left, right_first, right): runs of chunks, by number from 0, that earlier documents have; the digests at both ends and who has them first."""
+    """(doc_id, h, start, end, left_first, left, right_first, right): runs of chunks, by number from 0, that earlier documents have; the digests at both ends and who has them first, null at an end of the text."""
     own = written(chunks(docs, chunker), "chunks")
-    each = own.select("doc_id", "h", F.posexplode("digests").alias("place", "digest"))
+    each = own.select("doc_id", "h", F.size("digests").alias("n"), F.posexplode("digests").alias("place", "digest"))
     shared = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     shared = written(shared, "shared")
     found = each.join(shared.hint("merge"), "digest").where("doc_id > first")
-    found = found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("place", "first", "digest"))).alias("places"))
+    found = found.groupBy("doc_id", "h").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("place", "first", "digest"))).alias("places"))
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _RUN.split(", ")]
         for b in batches:
             rows = []
-            for d, h, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for d, h, n, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 at = 0
                 for k, p in enumerate(places):
                     if k + 1 == len(places) or places[k + 1]["place"] != p["place"] + 1:
                         if k + 1 - at >= ANCHOR:
-                            rows.append((d, h, places[at]["place"], p["place"], places[at]["first"], places[at]["digest"], p["first"], p["digest"]))
+                            # At the ends of the text there is nothing to extend into.
+                            left = (places[at]["first"], places[at]["digest"]) if places[at]["place"] else (None, None)
+                            right = (p["first"], p["digest"]) if p["place"] + 1 < n else (None, None)
+                            rows.append((d, h, places[at]["place"], p["place"], *left, *right))
                         at = k + 1
             columns = zip(*rows, strict=True) if rows else ((),) * 8
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
@@ -133,7 +136,7 @@ def repeats(docs: DataFrame, chunker: Chunker = CHUNKER) -> DataFrame:
     prepare(docs.sparkSession)
     found = anchors(docs, chunker)
     sides = [found.select(F.col(f"{s}_first").alias("doc_id"), F.col(s).alias("digest")) for s in ("left", "right")]
-    wanted = written(sides[0].unionByName(sides[1]).distinct(), "wanted")
+    wanted = written(sides[0].unionByName(sides[1]).where("digest IS NOT NULL").distinct(), "wanted")
     around = surroundings(docs, wanted, chunker)
     side = lambda s, what: around.select(F.col("doc_id").alias(f"{s}_first"), F.col("digest").alias(s), what)
     known = found.join(side("left", "before"), ["left_first", "left"], "left").join(side("right", "after"), ["right_first", "right"], "left")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, release, shared_folder, on_exit
-from .word_memo import WordEncoder
+from .word_memo import encoder_of
 
 LANES = 1024
 SEGMENT = 1 << 17
@@ -183,7 +183,7 @@ def encode_ids(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[float]
     edges = np.array(bounds)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = encoder_of(tokenizer), end_id.to_bytes(4, "little")
         for b in batches:
             at = b.column(0).cast(pa.int64())
             part = np.searchsorted(edges, at.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")

@@ -10,13 +10,14 @@ unseen pre-tokens go to the library; any other word goes to it whole.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 
 from .common import Memo
 
 #: Bounds of the two memories of a worker.
-WORDS = 400_000
+WORDS = 600_000
 PRETOKENS = 700_000
 #: Texts on which the encoder must agree with the library before it is used: another file may normalise or split otherwise.
 PROBES = ("", " ", "a", "A b", "  two  blanks ", "\ttab", "a\nb", "É e\u0301 \ufb01 \uff21 \u2460", "日本語 テスト", "x1234,5.6!?", "don't I'LL", "<|endoftext|>", "</s>[INST]", "\U0001f642 ok")
@@ -73,3 +74,9 @@ class WordEncoder:
         if not text:
             return b""
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(file: str) -> WordEncoder:
+    """The worker's encoder: its bounded memories serve all tasks that it runs."""
+    return WordEncoder(file)

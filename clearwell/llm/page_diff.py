@@ -31,6 +31,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import pyarrow as pa
 import xxhash
@@ -53,7 +54,7 @@ MAIN = frozenset("article main".split())
 BROADCAST_PAGES, BROADCAST_LINES = 100_000, 4_000_000
 #: Neighbours on either side that a page may be paired with, and the part of its lines that a copy shares.
 NEAR, COPY = 2, 0.9
-#: Pairs of equal lines up to which a longest common subsequence is looked for; beyond, lines that stand once in both come first.
+#: For common(): pairs of equal lines up to which a longest common subsequence is looked for; beyond, lines that stand once in both come first.
 MOST_MATCHES = 200_000
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -143,9 +144,84 @@ def lines(html: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def common(a: list[int], b: list[int]) -> list[int]:
+def longest(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a longest common subsequence of a and b, whatever their length and however often lines stand again.
+
+    Of several longest ones it is, from the end, the one whose lines come first in b, then first in a.
+    """
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    middle = _longest(a[lo : len(a) - hi], b[lo : len(b) - hi])
+    return [*range(lo), *(lo + k for k in middle), *range(len(a) - hi, len(a))]
+
+
+def _longest(a: list[int], b: list[int]) -> list[int]:
     """Places in a of a longest common subsequence of a and b.
 
+    Row i is a number whose n-th set bit is the least place in b that ends a common
+    subsequence of n lines with a[: i + 1]; one addition makes a row from the one
+    before.  Time is len(a) * len(b) / 64 steps, since a number's bits go 64 at a
+    time.  Every k-th row is kept, and those between are made again on the way back.
+    """
+    known, mine = set(b), set(a)
+    rows = [i for i, line in enumerate(a) if line in known]  # what stands on one side only changes no row
+    places: dict[int, list[int]] = {}
+    m = 0
+    for line in b:
+        if line in mine:
+            places.setdefault(line, []).append(m)
+            m += 1
+    if not rows:
+        return []
+    masks = {line: _bits(at, m) for line, at in places.items()}
+    full = (1 << m) - 1
+
+    def after(row: int, i: int) -> int:
+        # Zeros of left are the row's bits: the usual form of the recurrence.
+        left = full ^ row
+        met = left & masks[a[rows[i]]]
+        return full ^ ((left + met | left - met) & full)
+
+    every = isqrt(len(rows)) + 1
+    kept, row = [], 0
+    for i in range(len(rows)):
+        if i % every == 0:
+            kept.append(row)
+        row = after(row, i)
+    n, j, out = row.bit_count(), row.bit_length() - 1, []
+    while kept and n:
+        start = (len(kept) - 1) * every
+        block = [kept.pop()]  # block[k]: the row before start + k
+        for i in range(start, min(start + every, len(rows))):
+            block.append(after(block[-1], i))
+        for k in range(len(block) - 2, -1, -1):
+            before = block[k]
+            # The first row whose n-th bit is j is the one that lines up with it.
+            if not before >> j & 1 or (before & (2 << j) - 1).bit_count() != n:
+                out.append(rows[start + k])
+                n -= 1
+                if not n:
+                    break
+                # Of what ends before j, the last has n lines.
+                j = (before & (1 << j) - 1).bit_length() - 1
+    return out[::-1]
+
+
+def _bits(at: list[int], m: int) -> int:
+    """The number with these bits set."""
+    out = bytearray((m >> 3) + 1)
+    for k in at:
+        out[k >> 3] |= 1 << (k & 7)
+    return int.from_bytes(out, "little")
+
+
+def common(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a common subsequence of a and b; the extraction does not use it, but longest(), whose rule does not change with the size.
+
     Equal beginnings and endings are set aside.  Where what is left has more than
     MOST_MATCHES equal pairs (lines that stand again and again), the lines that
     stand once in either are aligned first, and between two of them only equal
@@ -280,7 +356,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
             if not near:
                 return [(own["page_id"], own["h"], [])]
             best = max(near, key=lambda g: (not _is_copy(own["lines"], g["lines"]), _beginning(g["path"], own["path"])))
-            return [(own["page_id"], own["h"], common(own["lines"], best["lines"]))]
+            return [(own["page_id"], own["h"], longest(own["lines"], best["lines"]))]
 
         for b in batches:
             rows = []

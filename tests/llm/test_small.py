@@ -130,6 +130,30 @@ def test_common_of_many_repeated_lines():
     assert places == sorted(set(places)) and all(a[k] in rest for k in places) and {1, 2} <= {a[k] for k in places} and len(places) >= 20_000
 
 
+def test_longest_however_many_pairs_are_equal():
+    rng = random.Random(6)
+    a, b = ([rng.randint(0, 2) for _ in range(n)] for n in (1200, 1300))
+    places = page_diff.longest(a, b)
+    rest = iter(b)
+    assert places == sorted(set(places)) and all(a[k] in rest for k in places) and len(places) == brute_lcs(a, b)
+    # The same choice among equals in short lists and in long ones: the first lines of b, then of a.
+    many = [9] * 600
+    assert page_diff.longest([1, 2, 1], [2, 1, 2]) == [1, 2] and page_diff.longest([1, 2, 1, *many, 3], [2, 1, 2, *many, 4]) == list(range(1, 603))
+    for _ in range(300):
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 40))] for _ in "ab")
+        assert page_diff.longest(a, b) == page_diff.common(a, b) and len(page_diff.longest(a, b)) == brute_lcs(a, b)
+
+
+def test_op7_takes_the_longest_of_long_pages(spark):
+    from pyspark.sql import functions as F
+
+    # Marked-out lines, so often repeated that the two pages have over 200,000 equal pairs: all 460 are shared.
+    first, second = ["x"] * 450 + ["one"] + ["x"] * 10, ["own"] + ["x"] * 300 + ["one"] + ["x"] * 450
+    rows = [(k, f"https://a.example/{k}", "".join(f"<p>{t}</p>" for t in page)) for k, page in enumerate((first, second))]
+    got = page_diff.shared_lines(spark.createDataFrame(rows, "page_id long, url string, html string")).where(F.col("page_id") == 0).first()["shared"]
+    assert got == [*range(450), *range(451, 461)]
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
     <header>Top</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- c --><div class="ad">Buy</div>
